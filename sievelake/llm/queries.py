@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, quality
+from . import bpe, chat, line_dedup, packing, quality, sstable
 from .common import read_table
 
 
@@ -12,6 +12,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
 
@@ -23,6 +31,21 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_quality_rules, op8_chat_formatting)}
+def op10_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_shards(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sstable.read_shards(spark, manifest, with_ids=False)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_bpe_roundtrip,
+        op4_best_fit_packing,
+        op6_quality_rules,
+        op8_chat_formatting,
+        op10_sorted_shards,
+    )
+}
 
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL}
