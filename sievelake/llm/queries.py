@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, packing, quality, sstable
+from . import bpe, chat, line_dedup, near_dedup, packing, quality, sstable, substring_dedup
 from .common import read_table
 
 
@@ -16,10 +16,18 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=13))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
 
@@ -41,7 +49,9 @@ QUERIES = {
     for f in (
         op1_line_dedup,
         op2_bpe_roundtrip,
+        op3_near_dedup,
         op4_best_fit_packing,
+        op5_substring_dedup,
         op6_quality_rules,
         op8_chat_formatting,
         op10_sorted_shards,
