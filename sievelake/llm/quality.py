@@ -30,16 +30,15 @@ CLASSES = ("upper", "lower", "accented", "digit", "symbol", "mark", "space")
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", "kept")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters by class; an accented letter is told by its extra bytes."""
+def class_counts(text: Column, marks: Column, word_chars: Column) -> Column:
+    """Characters by class; an accented letter is told by its extra bytes.  Plain projections only: they share
+    subexpressions, generators do not."""
     text = F.coalesce(text, F.lit(""))
-    marks = F.regexp_replace(text, r"[\p{L}\s]+", "")  # little is left for the other classes to scan
     upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-    letters_space = F.length(text) - F.length(marks)
-    space = F.length(text) - F.length(F.regexp_replace(text, r"\s+", ""))
+    space = F.length(text) - word_chars
     digit = F.length(marks) - F.length(F.regexp_replace(marks, r"\p{N}+", ""))
     symbol = F.length(marks) - F.length(F.translate(marks, SYMBOLS, ""))
-    letters = letters_space - space
+    letters = F.greatest(F.length(text) - F.length(marks) - space, F.lit(0))
     accented = F.least(F.octet_length(text) - F.length(text), letters)
     return F.array(*[x.cast("double") for x in (
         upper, F.greatest(letters - upper - accented, F.lit(0)), accented, digit, symbol, F.length(marks) - digit - symbol, space)])
@@ -57,58 +56,66 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def references(docs: DataFrame, min_words: int = 50, n_common: int = 32, min_docs: int = 20) -> DataFrame:
-    """(ref_lang, ref_classes, common, ref_words): a row per language."""
+def common_words(docs: DataFrame, n_common: int = 16) -> DataFrame:
+    """(lang, common): the most frequent words of all texts of a language."""
     base = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    words = base.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = base.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     # The most frequent of each of 64 hash classes first: no task sorts a language's whole vocabulary.
     top = lambda df, keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where(F.col("r") <= n_common)
     words = top(words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64))), ["lang", "part"])
     common = top(words.drop("part", "r"), ["lang"]).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "word"))), lambda x: x.word).alias("common"))
-    common = stage(common, "common-words")
-    seen = base.join(common, "lang").select("lang", "common", "text", words_of(F.lower("text")).alias("words")).where(F.size("words") >= min_words)
-    seen = let(with_common_counts(seen, F.col("words"), "common", "w").drop("words"), n=class_counts(F.col("text")))
-    hist = let(seen.select("lang", "common", "n", "w"), c=shares(F.col("n")), s=shares(F.col("w"))).select("lang", "common", "c", F.col("s").alias("w"))
-    mean = [F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    ref = hist.groupBy("lang", "common").agg(F.count(F.lit(1)).alias("n_docs"), *mean).where(F.col("n_docs") >= min_docs)
+    return stage(common, "common-words")
+
+
+def references(measured: DataFrame, common: DataFrame, min_words: int, n_common: int, min_docs: int) -> DataFrame:
+    """(_ref_lang, _ref_classes, _ref_words): the mean histograms of each language, from measured documents."""
+    hist = let(measured.where(F.col("n_words") >= min_words).select("lang", "_n", "_w"), _c=shares(F.col("_n")), _s=shares(F.col("_w")))
+    mean = [F.avg(F.get("_c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.avg(F.get("_s", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
+    ref = hist.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), *mean).where(F.col("n_docs") >= min_docs).join(common, "lang")
     ref = ref.select(
-        F.col("lang").alias("ref_lang"),
-        F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(len(CLASSES))]).alias("ref_classes"),
-        F.col("common").alias("common"),
-        F.slice(F.array(*[F.coalesce(f"w{i}", F.lit(0.0)) for i in range(n_common)]), 1, F.size("common")).alias("ref_words"),
+        F.col("lang").alias("_ref_lang"),
+        F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(len(CLASSES))]).alias("_ref_classes"),
+        F.slice(F.array(*[F.coalesce(f"w{i}", F.lit(0.0)) for i in range(n_common)]), 1, F.size("common")).alias("_ref_words"),
     )
     return stage(ref, "language-references")
 
 
-def with_common_counts(df: DataFrame, words: Column, common: str, name: str, when: Column | None = None) -> DataFrame:
+def with_common_counts(df: DataFrame, words: Column, common: str, name: str) -> DataFrame:
     """Add ``name``: how often each word of the array column ``common`` occurs among ``words``."""
-    hits = F.filter(words, lambda w: F.array_contains(F.col(common), w))
-    df = let(df, _found=hits if when is None else F.when(when, hits))
+    longest = F.array_max(F.transform(common, F.octet_length))
+    df = let(df, _longest=longest)
+    df = let(df, _found=F.filter(words, lambda w: (F.octet_length(w) <= F.col("_longest")) & F.array_contains(F.col(common), w)))
     counts = F.transform(common, lambda c: (F.size("_found") - F.size(F.array_remove("_found", c))).cast("double"))
-    return df.withColumn(name, F.when(F.col("_found").isNotNull(), counts)).drop("_found")
+    return df.withColumn(name, F.when(F.col("_found").isNotNull(), counts)).drop("_found", "_longest")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_words`` and the base columns."""
+    """``docs`` with ``_words``, ``_marks`` and the base columns."""
     df = let(docs.drop(*NEW), _words=words_of(F.col("text")))
     n = F.size("_words")
     df = let(df, _grams=F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    # Windows found twice or more: neighbours in the order of (hash, place) with the same hash.
+    # Windows found twice or more: hashes that are their neighbour in sorted order.
     g = F.size("_grams")
-    df = let(df, _order=F.when(F.size(F.array_distinct("_grams")) == g, F.lit(None)).otherwise(F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = let(df, _order=F.sort_array("_grams"))
+    df = let(df, _again=F.array_distinct(F.filter(F.zip_with("_order", F.slice("_order", 2, F.greatest(g, F.lit(1))), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())))
+    # Their places: looked up where they are few, else from the windows sorted with their places.
+    df = let(df, _order=F.when(F.size("_again") > 24, F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda a, b: F.get("_order", a).h == F.get("_order", b).h
-    df = let(df, _twice=F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), g - 1), lambda k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False))), lambda k: F.get("_order", k).i)))
+    sorted_places = F.transform(F.filter(F.sequence(F.lit(0), g - 1), lambda k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False))), lambda k: F.get("_order", k).i)
+    few_places = F.filter(F.transform("_grams", lambda h, i: F.when(F.array_contains("_again", h), i)), lambda i: i.isNotNull())
+    df = let(df, _twice=F.when(F.size("_again") == 0, F.array().cast("array<int>")).when(F.col("_order").isNull(), few_places).otherwise(F.sort_array(sorted_places)))
     # Each such window covers its three words, or as many as there are before the next one starts.
     covered = F.aggregate(F.transform("_twice", lambda x, k: F.least(F.coalesce(F.get("_twice", k + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
+    # Neither letters nor white space: little is left for the counts of symbols and other classes to scan.
+    df = let(df, _marks=F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{L}\s]+", ""))
     df = let(df, _lines=F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    text = F.coalesce("text", F.lit(""))
     return df.select(
-        *docs.drop(*NEW).columns, "_words",
+        *docs.drop(*NEW).columns, "_words", "_marks",
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("_marks") - F.length(F.translate("_marks", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_order").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
+        covered.cast("long").alias("n_repeat_words"),
     ).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
 
 
@@ -118,23 +125,30 @@ def quality(
     word_limit: float = 0.65,
     min_words: int = 50,
     min_common: int = 40,
-    n_common: int = 32,
+    n_common: int = 16,
     min_docs: int = 20,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with the base columns, ``class_divergence``, ``word_divergence`` (null where not judged) and ``kept``."""
-    ref = references(docs, min_words, n_common, min_docs)
+    """``docs`` (``text`` only with ``keep_text``) with the base columns, ``class_divergence``,
+    ``word_divergence`` (null where not judged) and ``kept``."""
+    docs = docs.drop(*NEW)
+    common = common_words(docs, n_common)
     df = base_counts(docs)
-    columns = [c for c in df.columns if c != "_words"]
-    df = df.join(ref.withColumnsRenamed({c: f"_{c}" for c in ref.columns}), df.lang == F.col("_ref_lang"), "left")
-    judged = F.col("_ref_lang").isNotNull() & (F.col("n_words") >= min_words)
-    df = let(df, _words=F.when(judged, F.transform("_words", F.lower)))
-    df = with_common_counts(df, F.col("_words"), "_common", "_w", judged)
-    df = let(df, _n=F.when(judged, class_counts(F.col("text"))))
+    columns = [c for c in df.columns if c not in ("_words", "_marks") and (keep_text or c != "text")]
+    df = df.withColumn("_n", class_counts(F.col("text"), F.col("_marks"), F.col("word_chars")))
+    named = common.select(F.col("lang").alias("_lang"), F.col("common").alias("_common"))
+    df = df.join(named, df.lang == named._lang, "left")
+    df = with_common_counts(df, F.col("_words"), "_common", "_w")
+    # Written once: the references are means over these measures, and the verdict needs both.
+    measured = stage(df.select(*columns, "_n", "_w"), "measured-documents")
+    ref = references(measured, common, min_words, n_common, min_docs)
+    df = measured.join(ref, measured.lang == ref._ref_lang, "left")
     df = let(df, _hits=F.aggregate("_w", F.lit(0.0), lambda a, x: a + x), _c=shares(F.col("_n")), _s=shares(F.col("_w")))
+    judged = F.col("_ref_lang").isNotNull() & (F.col("n_words") >= min_words)
     df = let(
         df,
-        class_divergence=js_distance(F.col("_c"), F.col("_ref_classes")),
-        word_divergence=F.when(F.col("_hits") >= min_common, js_distance(F.col("_s"), F.col("_ref_words"))),
+        class_divergence=F.when(judged, js_distance(F.col("_c"), F.col("_ref_classes"))),
+        word_divergence=F.when(judged & (F.col("_hits") >= min_common), js_distance(F.col("_s"), F.col("_ref_words"))),
     )
     bad = (F.coalesce("class_divergence", F.lit(0.0)) > class_limit) | (F.coalesce("word_divergence", F.lit(0.0)) > word_limit)
     return df.select(*columns, "class_divergence", "word_divergence", (~F.col("base_failed") & ~bad).alias("kept"))

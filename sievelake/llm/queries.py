@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, near_dedup, packing, quality, sstable, substring_dedup
+from . import ann, bpe, chat, line_dedup, lm_score, near_dedup, packing, quality, sstable, substring_dedup
 from .common import read_table
 
 
@@ -29,7 +30,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
+    return quality.quality(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep_text=False).drop("lang")
+
+
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +44,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return sstable.read_shards(spark, manifest, with_ids=False)
@@ -53,7 +62,9 @@ QUERIES = {
         op4_best_fit_packing,
         op5_substring_dedup,
         op6_quality_rules,
+        op7_learned_partitions,
         op8_chat_formatting,
+        op9_lm_scores,
         op10_sorted_shards,
     )
 }
