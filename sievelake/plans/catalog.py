@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sievelake.plans import shapes
+
+QUERIES: dict = dict(shapes.QUERIES)
+ORACLE_SQL: dict = dict(shapes.ORACLE_SQL)
