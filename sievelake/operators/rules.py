@@ -94,8 +94,8 @@ def _sql(c: Call) -> Column:
         .when((c.a0 == "Name") & trace.is_sanitized, base - 0.4)
         .when(c.a0 == "Name", base + 0.2)
     )
-    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), shift))
-    return F.when(c.is_attr & (c.attr == "execute") & value.isNotNull(), F.array(value))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), shift))  # both pass over nulls, so what has no shift is told apart
+    return F.when(c.is_attr & (c.attr == "execute") & shift.isNotNull(), F.array(value))
 
 
 def _deserialize(c: Call) -> Column:
