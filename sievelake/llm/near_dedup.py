@@ -1,17 +1,18 @@
 """MinHash near-dedup with odd sketches.
 
 1. One pass over the texts makes, per document, its set's size and fingerprint, 160 MinHash
-   samples as 32 band keys of 5, and an odd sketch: a bitmap of 512 bits in which each sample
-   turns one bit.  Documents with the same set are one class, represented by its smallest id.
+   samples as 32 band keys of 5, and an odd sketch: one MinHash sample from each of 1024 hash
+   ranges, every sample turning one of 2048 bits.  Documents with the same set are one class,
+   represented by its smallest id.
 2. Representatives that share a band key are candidates.  Every member of a bucket is paired
    with the bucket's smallest (a link per member, not a pair per pair); the population count of
-   the XOR of two sketches estimates how many samples differ, and pairs far below the
+   the XOR of two sketches estimates how many samples differ, and pairs well below the
    threshold go.  The rest are confirmed on their full sets.
 3. Links make components.  Where a bucket's members are in one component by now, nothing more can
-   be learnt from it.  In the others, sketches of members of different components are
-   compared in blocks: two rounds with a spanning forest of the most similar pairs, whose links
-   merge what is left, then one with every remaining pair that the sketches admit.  So no link
-   between candidates is lost, and no bucket is emitted as pairs or capped.
+   be learnt from it.  In the others, members are compared in blocks inside a task: pairs of
+   different components whose sketches admit it, the most similar first, are confirmed on their full sets,
+   and a link spares all pairs that it makes superfluous.  So no link between candidates is
+   lost, no bucket is emitted as pairs, and none is capped: a large one is more blocks.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6; the sketch limit
 is five standard deviations below the threshold.
@@ -24,7 +25,6 @@ the threshold is met exactly; an empty table gives no rows; extra columns are no
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +36,12 @@ from .common import stage
 from .components import components
 from .shingles import mix, shingle_set, word_hashes
 
-BANDS, ROWS, BITS = 32, 5, 512
+BANDS, ROWS = 32, 5
+RANGES, BITS = 1024, 2048
 _U = np.uint64
 _FACTORS = mix(np.arange(BANDS * ROWS, dtype=_U), 11) | _U(1)
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Members, and shingles of all members, that a block of a bucket holds at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def minhash(values: np.ndarray) -> np.ndarray:
@@ -58,18 +59,27 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity of the samples that fall on each of the bits, packed in bytes."""
-    bits = mix(samples + np.arange(len(samples), dtype=_U), 31) % _U(BITS)
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """Parity of the samples (the least hash of each range that has one) on each of the bits."""
+    low = np.full(RANGES, ~_U(0))
+    place = (values & _U(RANGES - 1)).astype(np.int64)
+    np.minimum.at(low, place, mix(values, 31))
+    filled = np.flatnonzero(low != ~_U(0))
+    bits = mix(low[filled] ^ (filled.astype(_U) << _U(40)), 32) % _U(BITS)
     return np.packbits((np.bincount(bits.astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
 
 
-def sketch_limit(threshold: float) -> int:
-    """The most differing bits that a pair of this similarity shows, five standard deviations away."""
-    k = BANDS * ROWS
-    differ = 2 * k * (1 - threshold)
-    spread = 5 * math.sqrt(4 * k * threshold * (1 - threshold) + 2 * differ * differ / BITS)
-    return math.ceil(BITS / 2 * (1 - math.exp(-2 * (differ + spread) / BITS)))
+def sketch_limit(a, b, t: float):
+    """The most differing bits, five standard deviations included, of the sketches of two sets of a and b shingles
+    whose similarity is t.  For numbers or arrays."""
+    filled = lambda n: RANGES * (1 - np.exp(n * np.log1p(-1 / RANGES)))
+    union = (a + b) / (1 + t)
+    ranges = filled(union)
+    differ = np.maximum(filled(a) + filled(b) - 2 * t * ranges, 0)
+    # Ranges of one element say exactly what they hold; those of more are a sample.
+    spread = np.minimum(4 * t * (1 - t) * ranges, 1.2 * ((a + b) * (1 - t) / (1 + t) * union / RANGES + 1))
+    reach = differ + 5 * np.sqrt(spread + 2 * differ * differ / BITS)
+    return np.ceil(BITS / 2 * (1 - np.exp(-2 * reach / BITS)))
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -86,9 +96,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     n.append(len(values))
                     f1.append(mix(values, 41).sum(dtype=_U))
                     f2.append(mix(values, 42).sum(dtype=_U))
-                    samples = minhash(values)
-                    bands.append(band_keys(samples) if len(values) else np.zeros(0, _U))
-                    sketches.append(odd_sketch(samples).tobytes())
+                    bands.append(band_keys(minhash(values)) if len(values) else np.zeros(0, _U))
+                    sketches.append(odd_sketch(values).tobytes())
                 signed = lambda x: pa.array(np.array(x, _U).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), signed(np.concatenate(bands)))
                 yield pa.RecordBatch.from_arrays(
@@ -99,6 +108,14 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct values."""
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough."""
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
@@ -114,58 +131,73 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                     if u != last:
                         last, mine = u, shingle_set(wa[oa[k] : oa[k + 1]], shingle)
                     other = shingle_set(wb[ob[k] : ob[k + 1]], shingle)
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(mine) + len(other) - both))
+                    keep.append(similar(mine, other, percent))
                 yield rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _popcount(a, b):
-    """Differing bits of two sketches of ``BITS`` bits."""
-    word = lambda s, i: F.conv(F.hex(F.substring(s, 8 * i + 1, 8)), 16, -10).cast("long")
-    return sum((F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(1, BITS // 64)), F.bit_count(word(a, 0).bitwiseXOR(word(b, 0))))
+def screen(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v, n, m, x, y: ids, set sizes, sketches) that the sketches admit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _U).reshape(len(n), -1) for i in (4, 5))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                ok = (differ <= sketch_limit(n, m, percent / 100)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                yield batch.select(["u", "v"]).filter(pa.array(ok))
+
+    return pairs.select("u", "v", "n", "m", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _block_pairs(limit: int, forest: bool):
-    """Candidate pairs of each run of rows (band, i, j, side, rep, comp, sketch), which come sorted."""
+def _links_in_blocks(shingle: int, percent: int):
+    """Links (u, v) between components, from rows (band, i, j, side, rep, comp, n, sketch, text) that come
+    sorted by band, i, j: a run holds one block, or two to be held against each other."""
+    t = percent / 100
 
-    def pairs(rows: list) -> tuple[list, list]:
-        rep = np.array([r[4] for r in rows], np.int64)
-        comp = np.array([r[5] for r in rows], np.int64)
-        bits = np.frombuffer(b"".join(r[6] for r in rows), _U).reshape(len(rows), -1)
-        side = np.array([r[3] for r in rows])
+    def links(rows: list) -> list[tuple[int, int]]:
+        side, rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        bits = np.frombuffer(b"".join(r[7] for r in rows), _U).reshape(len(rows), -1)
         one = rows[0][1] == rows[0][2]
         left = np.arange(len(rows)) if one else np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
         found = []
-        for i in range(0, len(left), 256):
-            part = left[i : i + 256]
-            z = np.zeros((len(part), len(right)), np.uint16)
-            for w in range(bits.shape[1]):
-                z += np.bitwise_count(bits[part, w][:, None] ^ bits[right, w][None, :])
-            ok = (z <= limit) & (comp[part][:, None] != comp[right][None, :])
+        for i in range(0, len(left), 128):
+            part = left[i : i + 128]
+            far = (comp[part][:, None] != comp[right][None, :]) & (100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :]))
             if one:
-                ok &= part[:, None] < right[None, :]
-            x, y = np.nonzero(ok)
-            found.append(np.stack([z[x, y].astype(np.int64), part[x], right[y]]))
+                far &= part[:, None] < right[None, :]
+            x, y = np.nonzero(far)
+            x, y = part[x], right[y]
+            z = np.zeros(len(x), np.int64)
+            for w in range(bits.shape[1]):
+                z += np.bitwise_count(bits[x, w] ^ bits[y, w])
+            ok = z <= sketch_limit(n[x], n[y], t)
+            found.append(np.stack([z[ok], x[ok], y[ok]]))
         z, x, y = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        if forest:
-            parent: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while (p := parent.get(c, c)) != c:
-                    parent[c] = c = parent.get(p, p)
-                return c
-
-            out = []
-            for k in np.argsort(z, kind="stable"):
-                a, b = root(int(comp[x[k]])), root(int(comp[y[k]]))
-                if a != b:
-                    parent[a] = b
-                    out.append(k)
-            x, y = x[out], y[out]
-        return np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        parent: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(c: int) -> int:
+            while (p := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(p, p)
+            return c
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                words, _ = word_hashes(pa.array([rows[k][8]], pa.string()), True)
+                sets[k] = shingle_set(words, shingle)
+            return sets[k]
+
+        out = []
+        for k in np.argsort(z * 4096 // (n[x] + n[y] + 1), kind="stable"):
+            a, b = root(int(comp[x[k]])), root(int(comp[y[k]]))
+            if a != b and similar(shingles(int(x[k])), shingles(int(y[k])), percent):
+                parent[a] = b
+                out.append((int(rep[x[k]]), int(rep[y[k]])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def runs():
@@ -180,56 +212,52 @@ def _block_pairs(limit: int, forest: bool):
                 yield rows
 
         for rows in runs():
-            u, v = pairs(rows)
-            for i in range(0, len(u), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)]), pa.array(v[i : i + (1 << 16)])], names=["u", "v"])
+            if out := links(rows):
+                u, v = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    limit = sketch_limit(percent / 100)
     sig = stage(signatures(docs, shingle), "signatures")
     real = sig.where("n_shingles > 0 and doc_id is not null")
     classes = stage(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "set-classes")
-    reps = stage(real.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sketch"), "representatives")
-    buckets = reps.select("rep", F.explode("bands").alias("band"))
+    chosen = classes.select(F.col("rep").alias("doc_id"), "f1", "f2").distinct()
+    reps = real.join(chosen, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    reps = stage(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
+    buckets = reps.select("rep", "n", F.explode("bands").alias("band"))
     hubs = stage(buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").select("band", "hub"), "buckets")
     members = stage(buckets.join(hubs, "band"), "bucket-members")
     pairs = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    side = lambda name, s: reps.select(F.col("rep").alias(name), F.col("sketch").alias(s))
-    pairs = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").where(_popcount(F.col("x"), F.col("y")) <= limit).select("u", "v")
-    pairs = stage(pairs, "hub-pairs")
+    left = reps.select(F.col("rep").alias("u"), "n", F.col("sketch").alias("x"))
+    right = reps.select(F.col("rep").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    pairs = stage(screen(pairs.join(left, "u").join(right, "v"), percent), "hub-pairs")
     # Texts of all that are in a bucket with others, once: what later confirmations join is this part only.
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = stage(texts.dropDuplicates(["doc_id"]), "candidate-texts")
     links = stage(confirm(pairs, texts, shingle, percent), "links")
-    tested = pairs
     roots = components(links)
-    for forest in (True, True, False):
-        named = members.select("band", "rep").join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
-        named = stage(named, "named-members")
-        mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-        mixed = stage(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
-        if mixed.isEmpty():
-            break
-        rows = named.join(mixed, "band").join(reps.select("rep", "sketch"), "rep").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        # Block b meets blocks b.. on the left and ..b on the right.
+    named = members.join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    named = stage(named, "named-members")
+    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = stage(mixed.select("band", blocks.alias("blocks")), "mixed-buckets")
+    if not mixed.isEmpty():
+        rows = named.join(mixed, "band").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        # Block b meets the blocks before it from the right and the others from the left.
         meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
             F.least(F.col("b"), o).alias("i"), F.greatest(F.col("b"), o).alias("j"), (F.col("b") > o).cast("int").alias("side")))
-        rows = rows.select("band", F.inline(meet), "rep", "comp", "sketch")
-        found = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_block_pairs(limit, forest), "u long, v long")
-        found = stage(found.distinct().join(tested, ["u", "v"], "left_anti"), "block-pairs")
-        more = stage(confirm(found, texts, shingle, percent), "more-links")
+        rows = rows.select("band", F.inline(meet), "rep", "comp")
+        full = texts.select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep", "n", "sketch"), "rep")
+        rows = rows.join(full, "rep").select("band", "i", "j", "side", "rep", "comp", "n", "sketch", "text")
+        more = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_links_in_blocks(shingle, percent), "u long, v long")
+        more = stage(more.distinct(), "block-links")
         if not more.isEmpty():
-            links, tested = links.unionByName(more), tested.unionByName(found)
-            roots = components(links)
-        else:
-            tested = tested.unionByName(found)
+            roots = components(links.unionByName(more))
     named = sig.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
     out = named.select("doc_id", "n_shingles", component.alias("component_id"))
-    # Rows of one doc_id with different texts may be of different components; they are one node.
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
