@@ -6,7 +6,8 @@ began at its first character.  Where two neighbours agree on a pre-token boundar
 overlap they agree from there on (a match depends only on where it begins and on what
 follows), so the text can be cut at that boundary; the pieces are encoded in parallel and
 their ids concatenated.  Neighbours that never agree (say, one run of letters) are one piece.
-Boundaries too near to a chunk's end to see what follows are not trusted.  Decoding
+Boundaries too near to a chunk's end to see what follows are not trusted, and no cut is made
+behind white space.  Decoding
 concatenates the bytes of the ids.
 
 Defined cases: null text is empty and has no ids; texts are encoded whole, special tokens are
@@ -101,7 +102,8 @@ def stitch(chunks: list[tuple[int, str, list[int]]], pattern: str) -> list[str]:
     text = "".join(part[: nxt - start] for (start, part, _), nxt in zip(chunks, [*(c[0] for c in chunks[1:]), 1 << 62], strict=True))
     begin, cuts, own = 0, [0], set(chunks[0][2])
     for k, (start, part, bounds) in enumerate(chunks[1:], 1):
-        agreed = [p for p in bounds if p in own and p > begin]
+        # Not behind white space: how a run of it is split depends on what follows the cut.
+        agreed = [p for p in bounds if p in own and p > begin and not text[p - 1].isspace()]
         if agreed:
             begin = min(agreed)
             cuts.append(begin)
