@@ -43,20 +43,22 @@ def no_assessment() -> Column:
     return F.lit(None).cast("struct<is_likely_vulnerable:boolean,confidence_adjustment:double,explanation:string,false_positive_reason:string>")
 
 
-def _by_rule(rule_id: Column, what) -> Column:
+def _by_rule(rule_id: Column, what, rules: tuple[Rule, ...] = ()) -> Column:
     """A fixed text of each rule, without a join."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for r in RULES.values() for x in (r.id, what(r))]), rule_id)
+    known = RULES | {r.id: r for r in rules}
+    return F.try_element_at(F.create_map(*[F.lit(x) for r in known.values() for x in (r.id, what(r))]), rule_id)
 
 
-def finding_columns(rule_id: Column, file: Column, start: Column, end: Column, confidence: Column, context: Column, flow: Column, order: Column) -> list[Column]:
+def finding_columns(rule_id: Column, file: Column, start: Column, end: Column, confidence: Column, context: Column, flow: Column, order: Column, rules: tuple[Rule, ...] = ()) -> list[Column]:
     """The columns of a finding row; texts come from its rule."""
+    text = lambda what: _by_rule(rule_id, what, rules)
     return [
-        F.struct(F.concat_ws("-", rule_id, start.cast("string")).alias("id"), rule_id.alias("rule_id"), _by_rule(rule_id, lambda r: r.title).alias("title"), F.lit(None).cast("string").alias("fingerprint")).alias("identity"),
+        F.struct(F.concat_ws("-", rule_id, start.cast("string")).alias("id"), rule_id.alias("rule_id"), text(lambda r: r.title).alias("title"), F.lit(None).cast("string").alias("fingerprint")).alias("identity"),
         F.struct(file.alias("file"), start.cast("int").alias("line_start"), end.cast("int").alias("line_end")).alias("location"),
-        F.struct(_by_rule(rule_id, lambda r: category(r.id)).alias("category"), _by_rule(rule_id, lambda r: r.severity).alias("severity"), confidence.cast("double").alias("confidence")).alias("classification"),
+        F.struct(text(lambda r: category(r.id)).alias("category"), text(lambda r: r.severity).alias("severity"), confidence.cast("double").alias("confidence")).alias("classification"),
         context.alias("context"),
         flow.alias("data_flow"),
-        F.struct(_by_rule(rule_id, lambda r: r.explanation).alias("explanation"), _by_rule(rule_id, lambda r: r.fix).alias("recommended_fix")).alias("remediation"),
+        F.struct(text(lambda r: r.explanation).alias("explanation"), text(lambda r: r.fix).alias("recommended_fix")).alias("remediation"),
         no_assessment().alias("ai_assessment"),
         F.array(F.lit("static-rule")).alias("analysis_source"),
         order.cast("bigint").alias("_ord"),
@@ -98,7 +100,7 @@ def call_findings(call_rows: DataFrame, strict: bool = True, tokens: tuple[str,
     context = context_of(F.col("function_name"), F.col("class_name"), F.col("snippet"), F.col("around"), F.col("is_fixture"))
     # Calls in their order, and at most 1024 findings a call.
     order = F.shiftleft(F.col("ord").cast("bigint"), 10) + F.col("rule_ord")
-    return hits.select(*finding_columns(F.col("rule_id"), F.col("path"), F.col("line_start"), F.col("line_end"), F.col("confidence"), context, flow, order))
+    return hits.select(*finding_columns(F.col("rule_id"), F.col("path"), F.col("line_start"), F.col("line_end"), F.col("confidence"), context, flow, order, rules))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -135,6 +137,7 @@ def config_findings(files: DataFrame) -> DataFrame:
     return by_line.unionByName(root)
 
 
-def findings(files: DataFrame, strict: bool = True, tokens: tuple[str, ...] = SUPPRESS) -> DataFrame:
-    """All findings of ``files``; report order is (location.file, _ord)."""
-    return call_findings(calls(files), strict, tokens).unionByName(config_findings(files))
+def findings(files: DataFrame, strict: bool = True, tokens: tuple[str, ...] = SUPPRESS, rules: tuple[Rule, ...] = CALL_RULES) -> DataFrame:
+    """All findings of ``files``; report order is (location.file, _ord).  ``rules`` may hold more call rules than ours:
+    a rule is its wording and a function from call columns to confidences."""
+    return call_findings(calls(files), strict, tokens, rules).unionByName(config_findings(files))

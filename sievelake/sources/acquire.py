@@ -59,6 +59,11 @@ def validate_url(url: Column, hosts: tuple[str, ...] = HOSTS) -> Column:
     return F.struct(F.when(error.isNull(), owner).alias("owner"), F.when(error.isNull(), repo).alias("repo"), error.alias("error"))
 
 
+def looks_like_repository(url: Column) -> Column:
+    """What a form asks before it sends an address: the host's name occurs in it."""
+    return F.coalesce(url.contains(HOSTS[0]), F.lit(False))
+
+
 def check_members(members: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``members`` (archive, ord, filename, size, attr) with n_before, total_before and ``error``: the first check that
     the member fails, in the order in which they are made."""

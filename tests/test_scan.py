@@ -79,6 +79,14 @@ def test_loose_rules(spark):
     assert [r[2] for r in found(spark, files, strict=False)] == ["python.command.injection", "python.jwt_insecure", "python.xxe"]
 
 
+def test_own_rule(spark):
+    from sievelake.operators.rules import Rule, once
+
+    mine = Rule("python.own.print", "Print left in", "INFO", 0.3, "Prints in a library.", "Use logging.", hits=lambda c: once(c.fq == "print", 0.3))
+    row = findings.findings(inline_files(spark, {"a.py": "print(1)\n"}), rules=(*CALL_RULES, mine)).first()
+    assert (row.identity.title, row.classification.category, row.classification.severity, row.remediation.recommended_fix) == ("Print left in", "own", "INFO", "Use logging.")
+
+
 TAINT = """
 def inline(c, x):
     c.execute('a' % x)
