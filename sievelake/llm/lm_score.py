@@ -183,3 +183,25 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes:
         _score(order, alpha, max(1, n_all)), "doc_id long, n_words long, n_backoff long, log_score double"
     )
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
+
+
+def digest(scores: DataFrame) -> DataFrame:
+    """Scores to six decimals."""
+    return scores.select("doc_id", "n_words", "n_backoff", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+#: For two words and alpha 0.4.
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS b, CASE WHEN i > 1 THEN ws[i - 1] END AS a FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+c1 AS (SELECT b, count(*) AS n FROM t GROUP BY b), o1 AS (SELECT doc_id, b, count(*) AS n FROM t GROUP BY doc_id, b),
+c2 AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b), o2 AS (SELECT doc_id, a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY doc_id, a, b),
+u1 AS (SELECT doc_id, o1.b, c1.n - o1.n AS n FROM o1 JOIN c1 ON o1.b = c1.b), u2 AS (SELECT doc_id, o2.a, o2.b, c2.n - o2.n AS n FROM o2 JOIN c2 ON o2.a = c2.a AND o2.b = c2.b),
+s AS (SELECT t.doc_id, t.a IS NOT NULL AND u2.n = 0 AS backed,
+             CASE WHEN t.a IS NOT NULL AND u2.n > 0 THEN ln(u2.n / greatest(p.n, 1))
+                  ELSE CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(v.n, 1) / (SELECT count(*) FROM t)) END AS score
+      FROM t JOIN u1 v ON v.doc_id = t.doc_id AND v.b = t.b LEFT JOIN u1 p ON p.doc_id = t.doc_id AND p.b = t.a LEFT JOIN u2 ON u2.doc_id = t.doc_id AND u2.a = t.a AND u2.b = t.b),
+d AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE backed) AS n_backoff, sum(score) AS score FROM s GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(score, 0), 6) AS log_score, round(coalesce(score / n_words, 0), 6) AS mean_log_score
+FROM w LEFT JOIN d ON d.doc_id = w.doc_id
+"""

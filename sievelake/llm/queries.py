@@ -45,7 +45,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm_score.digest(lm_score.lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,10 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op3_near_dedup": near_dedup.ORACLE_SQL,
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_chat_formatting": chat.ORACLE_SQL,
+    "op9_lm_scores": lm_score.ORACLE_SQL,
+}

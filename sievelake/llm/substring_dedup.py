@@ -217,3 +217,16 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
 def digest(result: DataFrame) -> DataFrame:
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return result.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM p),
+f AS (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM g JOIN f USING (gram) WHERE doc_id > first_id),
+k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+o AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n_kept FROM k ANTI JOIN c USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN o ON w.doc_id = o.doc_id
+"""
