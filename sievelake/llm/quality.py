@@ -152,3 +152,41 @@ def quality(
     )
     bad = (F.coalesce("class_divergence", F.lit(0.0)) > class_limit) | (F.coalesce("word_divergence", F.lit(0.0)) > word_limit)
     return df.select(*columns, "class_divergence", "word_divergence", (~F.col("base_failed") & ~bad).alias("kept"))
+
+
+def digest(result: DataFrame) -> DataFrame:
+    """``result`` with distances to six decimals."""
+    return result.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
+
+
+#: For the default limits.
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, text IS NULL AS gone, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM h WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+             coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, regexp_replace(text, '[\p{L}\x09-\x0D ]+', '', 'g') AS marks,
+             length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS upper
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id),
+k AS (SELECT *, length(text) - word_chars AS space, length(marks) - length(regexp_replace(marks, '\p{N}+', '', 'g')) AS digit, greatest(word_chars - length(marks), 0) AS letters FROM m),
+a AS (SELECT *, least(strlen(text) - length(text), letters) AS accented FROM k),
+c AS (SELECT *, [upper, greatest(letters - upper - accented, 0), accented, digit, n_symbols, length(marks) - digit - n_symbols, space]::DOUBLE[] AS nc FROM a),
+t AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS p FROM (SELECT lang, unnest(ws) AS word FROM w WHERE lang IS NOT NULL) GROUP BY lang, word),
+o AS (SELECT lang, list(word ORDER BY p) AS common FROM t WHERE p <= 16 GROUP BY lang),
+v AS (SELECT c.*, common, list_transform(common, lambda x: len(list_filter(ws, lambda y: y = x))::DOUBLE) AS nw FROM c LEFT JOIN o ON o.lang = c.lang),
+s AS (SELECT *, list_transform(nc, lambda x: CASE WHEN list_sum(nc) > 0 THEN x / list_sum(nc) ELSE 0 END) AS pc, list_transform(nw, lambda x: CASE WHEN list_sum(nw) > 0 THEN x / list_sum(nw) ELSE 0 END) AS pw FROM v),
+f AS (SELECT lang, list(x ORDER BY i) AS rc FROM (SELECT lang, i, avg(x) AS x FROM (SELECT lang, unnest(pc) AS x, unnest(range(1, len(pc) + 1)) AS i FROM s WHERE n_words >= 50) GROUP BY lang, i) GROUP BY lang),
+q AS (SELECT lang, list(x ORDER BY i) AS rw FROM (SELECT lang, i, avg(x) AS x FROM (SELECT lang, unnest(pw) AS x, unnest(range(1, len(pw) + 1)) AS i FROM s WHERE n_words >= 50) GROUP BY lang, i) GROUP BY lang),
+e AS (SELECT lang FROM s WHERE n_words >= 50 AND common IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
+z AS (SELECT s.*, CASE WHEN n_words >= 50 AND e.lang IS NOT NULL THEN list_zip(pc, rc) END AS zc, CASE WHEN n_words >= 50 AND e.lang IS NOT NULL AND list_sum(nw) >= 40 THEN list_zip(pw, rw) END AS zw
+      FROM s LEFT JOIN f ON f.lang = s.lang LEFT JOIN q ON q.lang = s.lang LEFT JOIN e ON e.lang = s.lang),
+d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             sqrt(greatest(list_sum(list_transform(zc, lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END)) / 2, 0)) AS dc,
+             sqrt(greatest(list_sum(list_transform(zw, lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END)) / 2, 0)) AS dw FROM z)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       CASE WHEN zc IS NULL THEN NULL ELSE round(dc, 6) END AS class_divergence, CASE WHEN zw IS NULL THEN NULL ELSE round(dw, 6) END AS word_divergence,
+       NOT base_failed AND (zc IS NULL OR dc <= 0.35) AND (zw IS NULL OR dw <= 0.65) AS kept
+FROM d
+"""

@@ -30,7 +30,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep_text=False).drop("lang")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.digest(quality.quality(docs, keep_text=False)).drop("lang")
 
 
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,7 @@ ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op6_quality_rules": quality.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
     "op9_lm_scores": lm_score.ORACLE_SQL,
 }
