@@ -58,6 +58,17 @@ def let(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def bundle(df: DataFrame, keep: tuple[str, ...], new: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep``, and all others but ``new`` in one struct ``_rest``, where no name can clash with ours."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (*keep, *new)]
+    return df.select(*keep, F.struct(F.lit(True).alias("_"), *rest).alias("_rest"))
+
+
+def unbundle(df: DataFrame, keep: tuple[str, ...], new: tuple[str, ...]) -> list[Column]:
+    """The columns of ``df`` but ``new``, in its order, from what ``bundle`` made of it."""
+    return [F.col(c) if c in keep else F.col("_rest").getField(c).alias(c) for c in df.columns if c not in new]
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, sha256_text, stage
+from .common import bundle, let, sha256_text, stage, unbundle
 
 
 def line_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
@@ -67,18 +67,18 @@ def dedup_lines(docs: DataFrame, divisor: int = 4) -> DataFrame:
     """``docs`` with ``text`` without duplicate chunks, ``n_lines`` before and ``n_removed_lines``."""
     drop = duplicate_chunks(docs, divisor).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first_line", F.col("first_line") + F.col("n_lines") - 1)))).alias("_gone"))
     drop = drop.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "_gone")
-    rest = docs.drop("n_lines", "n_removed_lines")
+    keep, new = ("doc_id", "text"), ("n_lines", "n_removed_lines")
+    rest = bundle(docs, keep, new)
     df = rest.join(drop, rest.doc_id.eqNullSafe(drop._d) & (F.xxhash64(rest.text) == drop._k), "left")
     df = let(df, _lines=F.split("text", "\n", -1))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).when(
-        F.size("_gone") == F.size("_lines"), F.lit("")
-    ).otherwise(F.array_join(F.transform(keep, lambda i: F.get("_lines", i)), "\n"))
-    return df.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in rest.columns],
-        F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed_lines"),
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    counts = {"n_lines": "_lines", "n_removed_lines": "_gone"}
+    df = df.select(
+        "doc_id", text.alias("text"), "_rest",
+        *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(name) for name, c in counts.items()],
     )
+    return df.select(*unbundle(docs, keep, new), *new)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -23,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stage, words_of
+from .common import bundle, let, stage, unbundle, words_of
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("upper", "lower", "accented", "digit", "symbol", "mark", "space")
+KEEP = ("lang", "text")
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", "kept")
 
 
@@ -90,8 +91,8 @@ def with_common_counts(df: DataFrame, words: Column, common: str, name: str) ->
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_words``, ``_marks`` and the base columns."""
-    df = let(docs.drop(*NEW), _words=words_of(F.col("text")))
+    """lang, text, ``_rest`` (all other columns), ``_words``, ``_marks`` and the base columns."""
+    df = let(bundle(docs, KEEP, NEW), _words=words_of(F.col("text")))
     n = F.size("_words")
     df = let(df, _grams=F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")))
     # Windows found twice or more: hashes that are their neighbour in sorted order.
@@ -110,7 +111,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     df = let(df, _marks=F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{L}\s]+", ""))
     df = let(df, _lines=F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return df.select(
-        *docs.drop(*NEW).columns, "_words", "_marks",
+        "lang", "text", "_rest", "_words", "_marks",
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
         (F.length("_marks") - F.length(F.translate("_marks", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -131,16 +132,15 @@ def quality(
 ) -> DataFrame:
     """``docs`` (``text`` only with ``keep_text``) with the base columns, ``class_divergence``,
     ``word_divergence`` (null where not judged) and ``kept``."""
-    docs = docs.drop(*NEW)
     common = common_words(docs, n_common)
     df = base_counts(docs)
-    columns = [c for c in df.columns if c not in ("_words", "_marks") and (keep_text or c != "text")]
+    measures = [c for c in df.columns if c in NEW]
     df = df.withColumn("_n", class_counts(F.col("text"), F.col("_marks"), F.col("word_chars")))
     named = common.select(F.col("lang").alias("_lang"), F.col("common").alias("_common"))
     df = df.join(named, df.lang == named._lang, "left")
     df = with_common_counts(df, F.col("_words"), "_common", "_w")
     # Written once: the references are means over these measures, and the verdict needs both.
-    measured = stage(df.select(*columns, "_n", "_w"), "measured-documents")
+    measured = stage(df.select("lang", *["text"] * keep_text, "_rest", *measures, "_n", "_w"), "measured-documents")
     ref = references(measured, common, min_words, n_common, min_docs)
     df = measured.join(ref, measured.lang == ref._ref_lang, "left")
     df = let(df, _hits=F.aggregate("_w", F.lit(0.0), lambda a, x: a + x), _c=shares(F.col("_n")), _s=shares(F.col("_w")))
@@ -151,7 +151,8 @@ def quality(
         word_divergence=F.when(judged & (F.col("_hits") >= min_common), js_distance(F.col("_s"), F.col("_ref_words"))),
     )
     bad = (F.coalesce("class_divergence", F.lit(0.0)) > class_limit) | (F.coalesce("word_divergence", F.lit(0.0)) > word_limit)
-    return df.select(*columns, "class_divergence", "word_divergence", (~F.col("base_failed") & ~bad).alias("kept"))
+    rest = unbundle(docs, KEEP, NEW if keep_text else (*NEW, "text"))
+    return df.select(*rest, *measures, "class_divergence", "word_divergence", (~F.col("base_failed") & ~bad).alias("kept"))
 
 
 def digest(result: DataFrame) -> DataFrame:

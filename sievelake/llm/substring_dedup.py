@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import bundle, stage, unbundle
 from .shingles import mix, ngrams, word_hashes
 
 GRAM = 5
@@ -175,7 +175,8 @@ def duplicate_spans(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataF
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` with ``text`` without the words of duplicate spans (the rest joined by one space), ``n_words``
     before and ``n_removed``; texts that lose nothing stay as they are."""
-    rest = docs.drop("n_words", "n_removed")
+    keep, new = ("doc_id", "text"), ("n_words", "n_removed")
+    rest = bundle(docs, keep, new)
     copies, spans = duplicate_spans(rest, window)
     cuts = copies.select("doc_id", "k1", F.lit(True).alias("_all"), F.lit(None).cast("array<long>").alias("_starts"), F.lit(None).cast("array<long>").alias("_sizes")).unionByName(
         spans.select("doc_id", "k1", F.lit(False).alias("_all"), F.col("starts").alias("_starts"), F.col("sizes").alias("_sizes"))
@@ -211,7 +212,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_removed"])
 
-    return joined.select(*names, "_cuts").mapInArrow(run, schema)
+    return joined.select(*names, "_cuts").mapInArrow(run, schema).select(*unbundle(docs, keep, new), *new)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ ROWS = corpus()
 def docs(spark):
     """With a repeated row and columns that clash with ours."""
     df = spark.createDataFrame(ROWS, SCHEMA)
-    return df.repartition(3).withColumns({c: F.lit("mine") for c in ("n_words", "kept", "ids", "extra")})
+    return df.repartition(3).withColumns({c: F.lit("mine") for c in ("n_words", "kept", "ids", "extra", "_gone", "_lines", "_rest", "_words", "_cuts", "_doc", "hash", "body")})
 
 
 @pytest.fixture(scope="session")
