@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stage
 from .shingles import ngrams, word_hashes
 
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 _U = np.uint64
 
 
