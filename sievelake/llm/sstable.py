@@ -43,8 +43,8 @@ from .common import new_path, stage
 MAGIC = b"SLSSTB01"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 1 << 15, 10, 7
-#: Words that a worker remembers before it starts anew: a bound on memory that no result depends on.
-MEMO_WORDS = 1 << 19
+#: Words that a worker remembers in each of two generations: a bound on memory that no result depends on.
+MEMO_WORDS = 3 << 18
 
 
 def encode_key(doc_id: int | None) -> bytes:
@@ -176,30 +176,104 @@ class Reader:
         return next((ids for k, ids in self.block(i) if k == key), None) if i < len(self.index) else None
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+#: Splits a word of the plain kind as the tokenizer's own pre-tokeniser does, lower-cased.
+PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+#: Words of these characters need no normal form and no tokenizer: neither control nor space characters are among them.
+PLAIN = r"[!-~\u00a1-\u017f]+"
+
+
+def byte_symbols() -> dict[str, int]:
+    """The printable characters by which byte-level vocabularies write bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class WordEncoder:
+    """Ids of texts under a lower-casing tokenizer whose pre-tokens never cross white space, so that each word is encoded once.
+
+    Words used of late are kept: the older generation goes when the younger is full.  Plain words are
+    merged by a rank table made from the tokenizer's vocabulary, in which byte 1 stands for the end of
+    a word; other words, and all if the ids don't follow the merges, go through the tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        import regex
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end, symbols = model["vocab"], model["end_of_word_suffix"], byte_symbols()
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        raw = lambda t: bytes(symbols[c] for c in t.removesuffix(end)) + (b"\x01" if t.endswith(end) else b"")
+        ranks = {raw(t): i for t, i in vocab.items() if all(c in symbols for c in t.removesuffix(end))}
+        ordered = all(vocab.get(m) == 512 + i for i, m in enumerate(merges)) and all(len(t) <= 2 for t, i in ranks.items() if i < 512)
+        self.plain = regex.compile(PLAIN) if ordered and bytes([2]) in ranks else None
+        self.pieces = regex.compile(PIECES)
+        self.gap = ranks.get(b"\x02")
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x01\x02]+\x01|\x02", mergeable_ranks=ranks, special_tokens={}) if self.plain else None
+
+    def _learn(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 50_000):
+            part = [w.decode() for w in words[i : i + 50_000]]
+            plain = [bool(self.plain and self.plain.fullmatch(w)) for w in part]
+            for kind, encode in ((True, self._merge), (False, self._tokenize)):
+                if mine := [w for w, p in zip(part, plain, strict=True) if p is kind]:
+                    self.young.update(zip(map(str.encode, mine), encode(mine), strict=True))
+
+    def _merge(self, words: list[str]) -> Iterator[bytes]:
+        """Plain words as one text, a gap byte behind each."""
+        ids = np.array(self.merger.encode_ordinary(self.pieces.sub("\\1\x01", "\n".join(words).lower()).replace("\n", "\x02") + "\x02"), "<u4")
+        ends = np.flatnonzero(ids == self.gap)
+        starts = np.r_[0, ends[:-1] + 1]
+        raw = ids.tobytes()
+        return map(raw.__getitem__, map(slice, (starts * 4).tolist(), (ends * 4).tolist()))
+
+    def _tokenize(self, words: list[str]) -> Iterator[bytes]:
+        """Words as one text, the ids dealt out by where they begin."""
+        got = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+        first = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+        cuts = np.searchsorted(first, starts)
+        raw, cuts = np.array(got.ids, "<u4").tobytes(), [*(cuts * 4).tolist(), 4 * len(first)]
+        return map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        # ASCII letters and white space only; others stay for the tokenizer, which lower-cases as well.
+        split = [t.encode().lower().split() for t in texts]
+        if len(self.young) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        missing = set().union(*split).difference(self.young)
+        known = missing.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in known)
+        self._learn(list(missing - known))
+        ids = self.young.__getitem__
+        return [np.frombuffer(b"".join(map(ids, words)), "<u4") for words in split]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of texts under a tokenizer whose pre-tokens never cross white space: each word is encoded once."""
-    tokenizer, memo = _tokenizer(path)
-    out = []
-    for text in texts:
-        words = text.encode().split()  # ASCII white space only; other kinds stay inside a word for the tokenizer
-        new = list({w for w in words if w not in memo})
-        if new:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        out.append(np.frombuffer(b"".join([memo[w] for w in words]), "<u4"))
-    return out
+    return word_encoder(path)(texts)
+
+
+def by_bytes(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (doc_id, text) with about ``size`` characters each."""
+    import pyarrow.compute as pc
+
+    group = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)) // size
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+    for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
+        yield batch.slice(a, b - a)
 
 
 def write_shards(
@@ -230,8 +304,7 @@ def write_shards(
         with store.open_output_stream(draft) as sink:
             writer = Writer(sink)
             for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    rows = batch.slice(i, 256)
+                for rows in by_bytes(batch, 4 << 20):
                     for doc, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist()), strict=True):
                         writer.add(encode_key(doc), np.append(ids, np.uint32(end_id)))
             writer.close()
