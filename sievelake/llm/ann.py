@@ -8,8 +8,9 @@ the true neighbours of held-out sample queries.
 
 Search: every row of the table is indexed under its most probable part, every query goes to its
 most probable few.  A part is split by hash into blocks of about ``block`` rows, so neither a large
-part nor one vector that a third of all rows share lands in one task; a block keeps the best of
-each query, and the best of those are the result.  Scores are inner products of the original
+part nor one vector that a third of all rows share lands in one task.  A query's k-th best among
+the sample's rows in the parts that it visits is a bound that its result cannot fall below; a
+block gives its k best as far as they reach the bound, and the best of those are the result.  Scores are inner products of the original
 vectors in double precision, the same for equal vectors wherever they stand.
 
 Defined cases: null, empty or zero vectors, vectors that hold null or non-finite components, and those
@@ -36,6 +37,8 @@ class Router:
     parts: int
     visits: int
     weights: tuple
+    ids: np.ndarray | None = None
+    sample: np.ndarray | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.parts == 1:
@@ -44,6 +47,19 @@ class Router:
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.maximum(x / norm @ w1 + b1, 0) @ w2 + b2
 
+    def bounds(self, ids: np.ndarray, x: np.ndarray, top: np.ndarray, k: int) -> np.ndarray:
+        """For each query a score that its k-th best row in the parts ``top`` reaches."""
+        home = self.scores(self.sample).argmax(axis=1)
+        out = np.full(len(ids), -np.inf)
+        for i in range(0, len(ids), 256):
+            s = x[i : i + 256] @ self.sample.T
+            seen = np.zeros((len(s), self.parts), bool)
+            np.put_along_axis(seen, top[i : i + 256], True, axis=1)
+            s[~seen[:, home] | (ids[i : i + 256, None] == self.ids[None, :])] = -np.inf
+            if s.shape[1] >= k:
+                out[i : i + 256] = np.partition(s, -k, axis=1)[:, -k]
+        return out - 1e-9 * np.maximum(1, np.abs(out))
+
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k rows of largest inner product of each row, itself left out."""
@@ -135,20 +151,22 @@ def valid(vector: Column) -> Column:
 def fit(rows: DataFrame, sample: int = 8192, per_part: int = 1600, target: float = 0.94, k: int = 20) -> Router:
     """``rows`` (vec_id, v) hold usable vectors.  At most ``sample`` of them come to the driver."""
     total = rows.count()
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").collect()
     if not got:
         return Router(0, 1, 1, ())
     lengths = np.array([len(r.v) for r in got])
     dim = int(np.bincount(lengths).argmax())
-    x = np.unique(np.array([r.v for r in got if len(r.v) == dim], np.float64), axis=0)
+    ids = np.array([r.vec_id for r in got if len(r.v) == dim])
+    x, first = np.unique(np.array([r.v for r in got if len(r.v) == dim], np.float64), axis=0, return_index=True)
+    ids = ids[first]
     parts = 1 << max(0, min(8, round(np.log2(max(1, total / per_part)))))
     if len(x) < max(512, 16 * parts) or parts == 1:
-        return Router(dim, 1, 1, ())
-    rng = np.random.default_rng(3)
-    x = x[rng.permutation(len(x))]
+        return Router(dim, 1, 1, (), ids, x)
+    order = np.random.default_rng(3).permutation(len(x))
+    ids, x = ids[order], x[order]
     held = x[: len(x) // 8]
     part = partition_graph(neighbour_graph(x, 10), parts)
-    router = Router(dim, parts, parts, train(x[len(held) :], part[len(held) :], parts))
+    router = Router(dim, parts, parts, train(x[len(held) :], part[len(held) :], parts), ids, x)
     near = neighbour_graph(x, min(k, len(x) - 1))[: len(held)]
     home = router.scores(x).argmax(axis=1)
     rank = np.argsort(np.argsort(-router.scores(held), axis=1), axis=1)
@@ -157,8 +175,8 @@ def fit(rows: DataFrame, sample: int = 8192, per_part: int = 1600, target: float
     return router
 
 
-def _route(router: Router, n: int):
-    """Rows (vec_id, v) with their ``n`` most probable parts."""
+def _route(router: Router, n: int, k: int = 0):
+    """Rows (vec_id, v) with their ``n`` most probable parts and, for ``k`` above 0, the bound of their k-th best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,15 +185,16 @@ def _route(router: Router, n: int):
             ids = batch.column(0).to_numpy()
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), router.dim)
             top = np.argsort(-router.scores(x), axis=1, kind="stable")[:, :n]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
+            bound = router.bounds(ids, x, top, k) if k else np.full(len(ids), -np.inf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(bound)], names=["vec_id", "v", "parts", "bound"])
 
     return run
 
 
 def _rerank(k: int):
-    """Best ``k`` of a block for each query; rows (part, block, side, vec_id, v) come sorted, candidates first."""
+    """Best ``k`` of a block for each query; rows (part, block, side, vec_id, v, bound) come sorted, candidates first."""
 
-    def best(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    def best(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
         out: list = [[], [], []]
         s = q @ x.T
         s[qid[:, None] == ids[None, :]] = -np.inf
@@ -185,10 +204,10 @@ def _rerank(k: int):
             if n <= 0:
                 continue
             edge = np.partition(s[i], len(ids) - n)[len(ids) - n]
-            near = np.flatnonzero(s[i] >= edge - 1e-9 * max(1.0, abs(edge)))
+            near = np.flatnonzero(s[i] >= max(edge - 1e-9 * max(1.0, abs(edge)), bound[i]))
             exact = (x[near] * q[i]).sum(axis=1)  # the same order of additions for every row
             near = near[order := np.lexsort((ids[near], -exact))][:n]
-            out[0].append(np.full(n, qid[i]))
+            out[0].append(np.full(len(near), qid[i]))
             out[1].append(ids[near])
             out[2].append(exact[order][:n])
         flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
@@ -199,6 +218,7 @@ def _rerank(k: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            bound = batch.column("bound").to_numpy()
             part, block, side, vec = (batch.column(c).to_numpy() for c in ("part", "block", "side", "vec_id"))
             v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
             change = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
@@ -212,7 +232,7 @@ def _rerank(k: int):
                 elif ids:
                     ids, x = [np.concatenate(ids)], [np.concatenate(x)]
                     for i in range(0, len(rows), 512):
-                        yield best(ids[0], x[0], vec[rows[i : i + 512]], v[rows[i : i + 512]])
+                        yield best(ids[0], x[0], vec[rows[i : i + 512]], v[rows[i : i + 512]], bound[rows[i : i + 512]])
 
     return run
 
@@ -224,16 +244,16 @@ def search(rows: DataFrame, queries: Column, k: int = 20, router: Router | None
     router = router or fit(rows, k=k)
     rows = rows.where(F.size("v") == router.dim)
     kind = f"array<{dict(rows.dtypes)['v'][6:-1]}>"
-    route = lambda df, n: df.mapInArrow(_route(router, n), f"vec_id long, v {kind}, parts array<int>")
-    index = route(rows, 1).select("vec_id", "v", F.get("parts", F.lit(0)).alias("part"))
+    route = lambda df, n, k: df.mapInArrow(_route(router, n, k), f"vec_id long, v {kind}, parts array<int>, bound double")
+    index = route(rows, 1, 0).select("vec_id", "v", "bound", F.get("parts", F.lit(0)).alias("part"))
     sizes = index.groupBy("part").count().collect()  # a row per part
     blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["part"], -(-r["count"] // block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(blocks, "part")).cast("int"))
-    asked = route(rows.where(queries), router.visits).select("vec_id", "v", F.explode("parts").alias("part"))
-    asked = asked.withColumn("n", F.try_element_at(blocks, "part")).where("n is not null").select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    asked = route(rows.where(queries), router.visits, k).select("vec_id", "v", "bound", F.explode("parts").alias("part"))
+    asked = asked.withColumn("n", F.try_element_at(blocks, "part")).where("n is not null").select("vec_id", "v", "bound", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
     both = index.withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1)))
     order = ["part", "block", "side"]
-    found = both.select(*order, "vec_id", "v").repartition("part", "block").sortWithinPartitions(*order).mapInArrow(_rerank(k), "query_id long, vec_id long, score double")
+    found = both.select(*order, "vec_id", "v", "bound").repartition("part", "block").sortWithinPartitions(*order).mapInArrow(_rerank(k), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
