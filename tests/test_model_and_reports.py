@@ -249,3 +249,28 @@ def test_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("q0").agg(F.sum("n")).first()[0] == 20 and spark.table("q1").count() == 3
+
+
+def test_labelled_tree(spark, tmp_path):
+    """Our own files of the labelled kinds; the published matrix of each mode comes out."""
+    from sievelake.plans.evaluation import evaluate_tree, write_evaluation
+
+    step = "jobs:\n  b:\n    steps:\n      - {}\n"
+    texts = {
+        "cmd/vulnerable/a.py": "import os\ndef f(x):\n    os.system('cat ' + x)\n", "cmd/variant/a.py": "import subprocess\nsubprocess.Popen(cmd, shell=True)\n",
+        "cmd/safe/a.py": "import subprocess\nsubprocess.run(['ls', x])\n", "cmd/false_positive/a.py": "import os\nos.system('ls')\n",
+        "ssrf/vulnerable/a.py": "import requests\nrequests.get(url)\n", "ssrf/variant/a.py": "import httpx\nhttpx.post(url, data=d)\n",
+        "ssrf/safe/a.py": "import requests\nif url in ALLOWED:\n    requests.get(url)\n", "ssrf/false_positive/a.py": "import requests\nURL = 'https://a'\nrequests.get(URL)\n",
+        "ci/vulnerable/a.yml": step.format("run: echo ${{ github.event.comment.body }}"), "ci/variant/a.yml": step.format("run: |\n          echo ${{ github.event.comment.body }}"),
+        "ci/safe/a.yml": step.format("run: echo $BODY"), "ci/false_positive/a.yml": step.format("name: ${{ github.event.comment.body }}"), "other/a.py": "eval(x)\n",
+    }
+    for name, text in texts.items():
+        path = tmp_path / "tree" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    results = evaluate_tree(spark, str(tmp_path / "tree"))
+    got = {r["mode"]: tuple(r)[1:5] for r in results.collect()}
+    assert got == {"STATIC": (5, 2, 1, 4), "AI_DISCOVERY": (4, 0, 2, 6), "HYBRID": (5, 2, 1, 4)}
+    write_evaluation(results, str(tmp_path))
+    scores = json.loads((tmp_path / "results.json").read_text())["STATIC"]
+    assert [round(scores[k], 6) for k in ("precision", "recall", "f1")] == [0.714286, 0.833333, 0.769231]
