@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,11 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star-minima")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large, "large-star")
+        drop(e, low)
         low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-minima")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        drop(large, low)
         state, was = _state(e), state
         if state == was:
             break
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return stage(roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    out = stage(roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    drop(e)
+    return out

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bundle, let, sha256_text, stage, unbundle
+from .common import bundle, drop, let, sha256_text, stage, unbundle
 
 
 def line_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
@@ -58,6 +58,7 @@ def duplicate_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
     seen = chunks.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi")
     repeated = stage(seen.select("hash"), "line-hashes")
     again = stage(chunks.join(repeated, "hash", "left_semi"), "line-chunks")
+    drop(repeated)
     first = again.groupBy("body").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept < last").select("body", "kept")
     first = stage(first, "line-firsts")
     return again.join(first, "body").where(place > F.col("kept")).select("doc_id", "text_key", "first_line", "n_lines")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoding, id_lists, small_batches
-from .common import stage
+from .common import drop, stage
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -135,6 +135,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     order = ["length", "doc_id", "piece"]
     dealt = stage(pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(ranks, schema), "ranked-pieces")
+    drop(pieces)
     hist = dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "_part").collect()
     counts, before = np.zeros(capacity + 1, np.int64), {}
     for length, part, n in hist:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bundle, stage, unbundle
+from .common import bundle, drop, stage, unbundle
 from .shingles import mix, ngrams, word_hashes
 
 GRAM = 5
@@ -149,8 +149,8 @@ def _spans(window: int):
 
 
 def duplicate_spans(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(profiles, spans): per row doc_id, k1, n_words and whether all of it is a copy; per document with
-    factors doc_id, k1, starts, sizes."""
+    """(copies, spans): doc_id, k1 of documents that are copies as a whole; doc_id, k1, starts, sizes of the factors of
+    the others that have any."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     profiles = stage(docs.mapInArrow(_profiles(window), "doc_id long, n_words long, k1 long, k2 long, anchors array<long>"), "profiles")
     whole = profiles.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
@@ -160,16 +160,19 @@ def duplicate_spans(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataF
     twice = held.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     twice = stage(twice, "repeated-anchors")
     marked = held.join(twice, "anchor", "left_semi").groupBy("doc_id", "k1").agg(F.collect_list("anchor").alias("anchors"))
-    marked = stage(marked, "marked-documents").withColumnRenamed("k1", "_k1")
-    found = docs.join(marked, "doc_id").select("doc_id", "_k1", "text", "anchors")
+    marked = stage(marked, "marked-documents")
+    found = docs.join(marked.withColumnRenamed("k1", "_k1"), "doc_id").select("doc_id", "_k1", "text", "anchors")
     windows = stage(found.mapInArrow(_windows(window), "doc_id long, k1 long, place int, anchor long, hash long"), "windows")
     index = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     index = stage(index.select("anchor", "hash", "lo"), "window-index")
     hits = windows.join(index, ["anchor", "hash"]).where("doc_id > lo").groupBy("doc_id", "k1").agg(F.collect_list("place").alias("places"))
     spans = stage(hits.mapInArrow(_spans(window), "doc_id long, k1 long, starts array<long>, sizes array<long>"), "spans")
+    drop(marked, windows, index)
     copies = profiles.select("doc_id", "n_words", "k1", "k2").join(first, ["k1", "k2", "n_words"], "left")
     copies = copies.select("doc_id", "k1", "n_words", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("is_copy"))
-    return stage(copies.where("is_copy").select("doc_id", "k1").distinct(), "copies"), spans
+    copies = stage(copies.where("is_copy").select("doc_id", "k1").distinct(), "copies")
+    drop(profiles, first, one, twice)
+    return copies, spans
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
