@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 from .components import components
 from .shingles import mix, shingle_set, word_hashes
 
@@ -163,17 +163,17 @@ def _links_in_blocks(shingle: int, percent: int):
         one = rows[0][1] == rows[0][2]
         left = np.arange(len(rows)) if one else np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
-        found = []
+        found, most = [], int(sketch_limit(int(n.max()), int(n.max()), t))  # it grows with the sizes
         for i in range(0, len(left), 128):
             part = left[i : i + 128]
             far = (comp[part][:, None] != comp[right][None, :]) & (100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :]))
             if one:
                 far &= part[:, None] < right[None, :]
-            x, y = np.nonzero(far)
-            x, y = part[x], right[y]
-            z = np.zeros(len(x), np.int64)
+            z = np.zeros(far.shape, np.uint16)
             for w in range(bits.shape[1]):
-                z += np.bitwise_count(bits[x, w] ^ bits[y, w])
+                z += np.bitwise_count(bits[part, w][:, None] ^ bits[right, w][None, :])
+            x, y = np.nonzero(far & (z <= most))
+            z, x, y = z[x, y].astype(np.int64), part[x], right[y]
             ok = z <= sketch_limit(n[x], n[y], t)
             found.append(np.stack([z[ok], x[ok], y[ok]]))
         z, x, y = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     buckets = reps.select("rep", "n", F.explode("bands").alias("band"))
     hubs = stage(buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").select("band", "hub"), "buckets")
     members = stage(buckets.join(hubs, "band"), "bucket-members")
+    drop(hubs)
     pairs = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     left = reps.select(F.col("rep").alias("u"), "n", F.col("sketch").alias("x"))
     right = reps.select(F.col("rep").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("y"))
@@ -241,6 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     roots = components(links)
     named = members.join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("comp"))
     named = stage(named, "named-members")
+    drop(members, pairs)
     mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     mixed = stage(mixed.select("band", blocks.alias("blocks")), "mixed-buckets")
@@ -255,7 +257,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         more = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_links_in_blocks(shingle, percent), "u long, v long")
         more = stage(more.distinct(), "block-links")
         if not more.isEmpty():
+            drop(roots)
             roots = components(links.unionByName(more))
+        drop(more)
+    drop(reps, texts, links, named, mixed)
     named = sig.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
