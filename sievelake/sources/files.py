@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sievelake.functions import scalars as S
 
+#: Bytes of a partition, 4 KB counted for opening each file, until there are so many partitions.
+PART_BYTES, MOST_PARTS = 512 << 10, 20_000
 SCHEMA = "path string, abs_path string, name string, content string, error string"
 
 
@@ -55,18 +57,19 @@ class TreeReader(DataSourceReader):
         self.root = os.path.abspath(options["path"])
         self.ignored = tuple(x for x in options.get("ignored", "").split(",") if x) or S.IGNORED
         self.all = options.get("allfiles", "false").lower() == "true"
-        self.bytes = int(options.get("partitionbytes", 4 << 20))
+        self.bytes = int(options.get("partitionbytes", 0))
 
     def partitions(self) -> list[InputPartition]:
+        """Files in path order, dealt by bytes: parsing is slow, so parts are small unless there would be too many."""
+        files = [(p, n + 4096) for p, n in walk(self.root, self.ignored) if self.all or taken(os.path.basename(p))]
+        limit = self.bytes or max(PART_BYTES, sum(n for _, n in files) // MOST_PARTS)
         parts, now, size = [], [], 0
-        for path, n in walk(self.root, self.ignored):
-            if not self.all and not taken(os.path.basename(path)):
-                continue
-            if now and size + n > self.bytes:
+        for path, n in files:
+            if now and size + n > limit:
                 parts.append(TreePartition(now))
                 now, size = [], 0
             now.append(path)
-            size += n + 4096
+            size += n
         return [*parts, TreePartition(now)] if now or not parts else parts
 
     def read(self, partition: TreePartition) -> Iterator[tuple]:
