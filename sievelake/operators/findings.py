@@ -137,7 +137,8 @@ def config_findings(files: DataFrame) -> DataFrame:
     return by_line.unionByName(root)
 
 
-def findings(files: DataFrame, strict: bool = True, tokens: tuple[str, ...] = SUPPRESS, rules: tuple[Rule, ...] = CALL_RULES) -> DataFrame:
-    """All findings of ``files``; report order is (location.file, _ord).  ``rules`` may hold more call rules than ours:
+def findings(files: DataFrame, strict: bool = True, tokens: tuple[str, ...] = SUPPRESS, rules: tuple[Rule, ...] = CALL_RULES, config: DataFrame | None = None) -> DataFrame:
+    """All findings of ``files``; report order is (location.file, _ord).  With ``config``, its files are the config
+    files and those of ``files`` Python, so that neither is read for the other.  ``rules`` may hold more call rules than ours:
     a rule is its wording and a function from call columns to confidences."""
-    return call_findings(calls(files), strict, tokens, rules).unionByName(config_findings(files))
+    return call_findings(calls(files), strict, tokens, rules).unionByName(config_findings(files if config is None else config))

@@ -51,10 +51,12 @@ class Session:
         return self.findings.agg(rollup.fails(F.col("classification.severity"), threshold)).first()[0]
 
 
-def scan_files(spark: SparkSession, tree: DataFrame, path: str = "", ai: bool = False, mode: str = "hybrid", provider: str | assess.Provider = "mock", strict: bool = True, tokens: tuple[str, ...] = findings.SUPPRESS) -> Session:
-    """Scan ``tree`` (path, abs_path, name, content, lang, is_fixture)."""
+def scan_files(spark: SparkSession, tree: DataFrame, path: str = "", ai: bool = False, mode: str = "hybrid", provider: str | assess.Provider = "mock", strict: bool = True, tokens: tuple[str, ...] = findings.SUPPRESS, by_lang: dict[str, DataFrame] | None = None) -> Session:
+    """Scan ``tree`` (path, abs_path, name, content, lang, is_fixture); ``by_lang`` may hold its python and config files
+    apart."""
     began = time.monotonic()
-    session = Session(path, tree, assess.written(findings.findings(tree.where("content is not null"), strict, tokens)))
+    python, config = ((by_lang or {}).get(k, tree).where("content is not null") for k in ("python", "config"))
+    session = Session(path, tree, assess.written(findings.findings(python, strict, tokens, config=config)))
     session.duration_seconds, session.end = time.monotonic() - began, datetime.now(UTC)
     if not ai:
         return session
@@ -80,7 +82,8 @@ def scan_files(spark: SparkSession, tree: DataFrame, path: str = "", ai: bool =
 
 def scan(spark: SparkSession, target: str, **how) -> Session:
     """Scan a folder or file that all executors see."""
-    return scan_files(spark, files.read_tree(spark, target), os.path.abspath(target), **how)
+    by_lang = {lang: files.read_tree(spark, target, lang=lang) for lang in S.ANALYZERS}
+    return scan_files(spark, files.read_tree(spark, target), os.path.abspath(target), by_lang=by_lang, **how)
 
 
 def scan_repository(spark: SparkSession, url: str, ref: str | None = None, folder: str | None = None, opener=None, **how) -> Session:

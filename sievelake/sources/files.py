@@ -20,7 +20,7 @@ from sievelake.functions import scalars as S
 
 #: Bytes of a partition, 4 KB counted for opening each file, until there are so many partitions.
 PART_BYTES, MOST_PARTS = 512 << 10, 20_000
-SCHEMA = "path string, abs_path string, name string, content string, error string"
+SCHEMA = "path string, abs_path string, name string, content string, error string, lang string"
 
 
 def walk(root: str, ignored: tuple[str, ...] = S.IGNORED) -> Iterator[tuple[str, int]]:
@@ -40,10 +40,13 @@ def walk(root: str, ignored: tuple[str, ...] = S.IGNORED) -> Iterator[tuple[str,
                 yield path, os.path.getsize(path)
 
 
-def taken(name: str) -> bool:
-    """Some analyzer takes a file of this name."""
-    patterns = {p for ps in S.ANALYZERS.values() for p in ps}
-    return name in patterns or os.path.splitext(name)[1].lower() in patterns
+def language_of(name: str) -> str | None:
+    """Language of a file name, as ``scalars.language`` has it; None if no analyzer takes it."""
+    for part in (name, os.path.splitext(name)[1].lower()):
+        for lang, patterns in S.ANALYZERS.items():
+            if part in patterns:
+                return lang
+    return None
 
 
 class TreePartition(InputPartition):
@@ -58,10 +61,11 @@ class TreeReader(DataSourceReader):
         self.ignored = tuple(x for x in options.get("ignored", "").split(",") if x) or S.IGNORED
         self.all = options.get("allfiles", "false").lower() == "true"
         self.bytes = int(options.get("partitionbytes", 0))
+        self.lang = options.get("lang")
 
     def partitions(self) -> list[InputPartition]:
         """Files in path order, dealt by bytes: parsing is slow, so parts are small unless there would be too many."""
-        files = [(p, n + 4096) for p, n in walk(self.root, self.ignored) if self.all or taken(os.path.basename(p))]
+        files = [(p, n + 4096) for p, n in walk(self.root, self.ignored) if self._wanted(os.path.basename(p))]
         limit = self.bytes or max(PART_BYTES, sum(n for _, n in files) // MOST_PARTS)
         parts, now, size = [], [], 0
         for path, n in files:
@@ -72,19 +76,24 @@ class TreeReader(DataSourceReader):
             size += n
         return [*parts, TreePartition(now)] if now or not parts else parts
 
+    def _wanted(self, name: str) -> bool:
+        lang = language_of(name)
+        return lang == self.lang if self.lang else self.all or lang is not None
+
     def read(self, partition: TreePartition) -> Iterator[tuple]:
         for path in partition.paths:
             name = os.path.basename(path)
             relative = name if path == self.root else os.path.relpath(path, self.root)
             try:
                 with open(path, encoding="utf-8", newline="") as f:
-                    yield relative, path, name, f.read().replace("\r\n", "\n").replace("\r", "\n"), None
+                    yield relative, path, name, f.read().replace("\r\n", "\n").replace("\r", "\n"), None, language_of(name)
             except (OSError, UnicodeDecodeError) as e:
-                yield relative, path, name, None, f"{type(e).__name__}: {e}"
+                yield relative, path, name, None, f"{type(e).__name__}: {e}", language_of(name)
 
 
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(root)``; options ``ignored`` (comma list), ``allFiles``, ``partitionBytes``."""
+    """``spark.read.format("source_tree").load(root)``; options ``ignored`` (comma list), ``lang`` (only
+    files of this language are opened), ``allFiles``, ``partitionBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -98,23 +107,26 @@ class SourceTree(DataSource):
 
 
 def classify(files: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """Add lang and is_fixture to (abs_path, name, ...); ignored paths and files without a language go."""
-    out = files.where(~S.is_ignored(F.col("abs_path"), ignored)).withColumn("lang", S.language(F.col("name")))
+    """Add is_fixture, and lang where it is not there, to (abs_path, name, ...); ignored paths and files without a language go."""
+    out = files.where(~S.is_ignored(F.col("abs_path"), ignored))
+    out = out if "lang" in files.columns else out.withColumn("lang", S.language(F.col("name")))
     return out.where("lang is not null").withColumn("is_fixture", S.is_fixture(F.col("abs_path")))
 
 
-def read_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """The scannable files of a tree: path, abs_path, name, content, error, lang, is_fixture."""
+def read_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), lang: str | None = None) -> DataFrame:
+    """The scannable files of a tree (of one language): path, abs_path, name, content, error, lang, is_fixture."""
     if not os.path.exists(root):
         raise FileNotFoundError(root)
     spark.dataSource.register(SourceTree)
     reader = spark.read.format("source_tree")
     if ignored:
         reader = reader.option("ignored", ",".join(ignored))
+    if lang:
+        reader = reader.option("lang", lang)
     return classify(reader.load(os.path.abspath(root)), ignored)
 
 
 def inline_files(spark: SparkSession, files: dict[str, str], root: str = "/project") -> DataFrame:
     """The same columns from texts by relative path."""
     rows = [(p, f"{root}/{p}", p.rsplit("/", 1)[-1], c, None) for p, c in files.items()]
-    return classify(spark.createDataFrame(rows, SCHEMA))
+    return classify(spark.createDataFrame(rows, SCHEMA.removesuffix(", lang string")))
