@@ -5,9 +5,9 @@ One that passes the base rule is compared with the reference of its language: th
 Jensen-Shannon distance between character-class histograms and between common-word
 histograms.  References are means over all documents of a language that have ``min_words``
 words (each counts alike, whatever its length), the common words are the ``n_common`` most
-frequent of all texts.  A document is rejected if a distance is above its limit; short texts
-(``min_words``, ``min_common`` for the words) and languages with few documents
-(``min_docs``) are not judged by it.
+frequent of all texts, lower-cased.  A document is rejected if a distance is above its limit;
+short texts (``min_words``; ``min_common`` hits for the words, where given) and languages with few
+documents (``min_docs``) are not judged by it.
 
 No text is shuffled: the per-document part is one pass over arrays inside the row; the
 references (a row per language) are broadcast by Spark only if their written size is under
@@ -45,8 +45,12 @@ def class_counts(text: Column, marks: Column, word_chars: Column) -> Column:
         upper, F.greatest(letters - upper - accented, F.lit(0)), accented, digit, symbol, F.length(marks) - digit - symbol, space)])
 
 
-def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+def summed(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+
+
+def shares(counts: Column, total: Column | None = None) -> Column:
+    total = summed(counts) if total is None else total
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
@@ -57,10 +61,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def common_words(docs: DataFrame, n_common: int = 16) -> DataFrame:
-    """(lang, common): the most frequent words of all texts of a language."""
+def common_words(docs: DataFrame, n_common: int = 32, fold: bool = True) -> DataFrame:
+    """(lang, common): the most frequent words of all texts of a language, lower-cased with ``fold``."""
     base = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    words = base.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = base.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    words = words.select("lang", (F.lower("word") if fold else F.col("word")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     # The most frequent of each of 64 hash classes first: no task sorts a language's whole vocabulary.
     top = lambda df, keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where(F.col("r") <= n_common)
     words = top(words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64))), ["lang", "part"])
@@ -70,7 +75,8 @@ def common_words(docs: DataFrame, n_common: int = 16) -> DataFrame:
 
 def references(measured: DataFrame, common: DataFrame, min_words: int, n_common: int, min_docs: int) -> DataFrame:
     """(_ref_lang, _ref_classes, _ref_words): the mean histograms of each language, from measured documents."""
-    hist = let(measured.where(F.col("n_words") >= min_words).select("lang", "_n", "_w"), _c=shares(F.col("_n")), _s=shares(F.col("_w")))
+    hist = let(measured.where(F.col("n_words") >= min_words).select("lang", "_n", "_w"), _total=summed(F.col("_w")))
+    hist = let(hist, _c=shares(F.col("_n")), _s=shares(F.col("_w"), F.col("_total")))
     mean = [F.avg(F.get("_c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.avg(F.get("_s", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
     ref = hist.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), *mean).where(F.col("n_docs") >= min_docs).join(common, "lang")
     ref = ref.select(
@@ -85,8 +91,10 @@ def with_common_counts(df: DataFrame, words: Column, common: str, name: str) ->
     """Add ``name``: how often each word of the array column ``common`` occurs among ``words``."""
     longest = F.array_max(F.transform(common, F.octet_length))
     df = let(df, _longest=longest)
-    df = let(df, _found=F.filter(words, lambda w: (F.octet_length(w) <= F.col("_longest")) & F.array_contains(F.col(common), w)))
-    counts = F.transform(common, lambda c: (F.size("_found") - F.size(F.array_remove("_found", c))).cast("double"))
+    # Each word becomes its place in the array, once; the counts compare numbers.
+    df = let(df, _found=F.transform(F.filter(words, lambda w: F.octet_length(w) <= F.col("_longest")), lambda w: F.array_position(F.col(common), w)))
+    df = let(df, _found=F.array_remove("_found", F.lit(0).cast("long")))
+    counts = F.transform(common, lambda _, i: (F.size("_found") - F.size(F.array_remove("_found", i.cast("long") + 1))).cast("double"))
     return df.withColumn(name, F.when(F.col("_found").isNotNull(), counts)).drop("_found", "_longest")
 
 
@@ -125,25 +133,27 @@ def quality(
     class_limit: float = 0.35,
     word_limit: float = 0.65,
     min_words: int = 50,
-    min_common: int = 40,
-    n_common: int = 16,
+    min_common: int | None = 40,
+    n_common: int = 32,
     min_docs: int = 20,
     keep_text: bool = True,
+    fold: bool = True,
 ) -> DataFrame:
     """``docs`` (``text`` only with ``keep_text``) with the base columns, ``class_divergence``,
     ``word_divergence`` (null where not judged) and ``kept``."""
-    common = common_words(docs, n_common)
+    common = common_words(docs, n_common, fold)
     df = base_counts(docs)
     measures = [c for c in df.columns if c in NEW]
     df = df.withColumn("_n", class_counts(F.col("text"), F.col("_marks"), F.col("word_chars")))
     named = common.select(F.col("lang").alias("_lang"), F.col("common").alias("_common"))
     df = df.join(named, df.lang == named._lang, "left")
-    df = with_common_counts(df, F.col("_words"), "_common", "_w")
+    df = with_common_counts(df, F.transform("_words", F.lower) if fold else F.col("_words"), "_common", "_w")
     # Written once: the references are means over these measures, and the verdict needs both.
     measured = stage(df.select("lang", *["text"] * keep_text, "_rest", *measures, "_n", "_w"), "measured-documents")
     ref = references(measured, common, min_words, n_common, min_docs)
     df = measured.join(ref, measured.lang == ref._ref_lang, "left")
-    df = let(df, _hits=F.aggregate("_w", F.lit(0.0), lambda a, x: a + x), _c=shares(F.col("_n")), _s=shares(F.col("_w")))
+    df = let(df, _hits=summed(F.col("_w")))
+    df = let(df, _c=shares(F.col("_n")), _s=shares(F.col("_w"), F.col("_hits")))
     judged = F.col("_ref_lang").isNotNull() & (F.col("n_words") >= min_words)
     df = let(
         df,
@@ -160,7 +170,10 @@ def digest(result: DataFrame) -> DataFrame:
     return result.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 
-#: For the default limits.
+#: What ``ORACLE_SQL`` says of the common words: half as many as by default, in their own case.
+AS_SQL = {"n_common": 16, "fold": False}
+
+#: For the default limits and ``AS_SQL``.
 ORACLE_SQL = r"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, text IS NULL AS gone, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),

@@ -357,6 +357,17 @@ def test_quality_verdict(spark):
     assert all(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_common_words(spark):
+    """32 words, counted whatever their case."""
+    words = [f"w{i}" for i in range(32)]
+    text = " ".join(w.upper() if i % 2 else w for i, w in enumerate(words * 3))
+    df = spark.createDataFrame([(i, text, "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert sorted(quality.common_words(df).first().common) == sorted(words)
+    df = df.unionByName(spark.createDataFrame([(20, text.lower(), "en"), (21, text.upper(), "en")], df.schema))
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert got[20].word_divergence == got[21].word_divergence == got[0].word_divergence is not None
+
+
 def test_js_distance(spark):
     a = lambda *x: F.array(*map(F.lit, x))
     row = spark.range(1).select(quality.js_distance(a(0.5, 0.5), a(0.5, 0.5)), quality.js_distance(a(1.0, 0.0), a(0.0, 1.0)), quality.js_distance(a(0.2, 0.8), a(0.6, 0.4))).first()
