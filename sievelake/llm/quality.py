@@ -6,8 +6,12 @@ Jensen-Shannon distance between character-class histograms and between common-wo
 histograms.  References are means over all documents of a language that have ``min_words``
 words (each counts alike, whatever its length), the common words are the ``n_common`` most
 frequent of all texts, lower-cased.  A document is rejected if a distance is above its limit;
-short texts (``min_words``; ``min_common`` hits for the words, where given) and languages with few
-documents (``min_docs``) are not judged by it.
+short texts (``min_words``) and languages with few documents (``min_docs``) are not judged by it.
+
+Common words that a text of its length should have and has not are a bin of their own, which the
+reference lacks: a text without any has a distance near 1.  ``SMOOTHING`` hits dealt as in the
+reference keep the noise of a short text's few hits small.  With ``min_common`` there is neither,
+and texts with fewer hits are not judged by their words.
 
 No text is shuffled: the per-document part is one pass over arrays inside the row; the
 references (a row per language) are broadcast by Spark only if their written size is under
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bundle, let, stage, unbundle, words_of
 
+SMOOTHING = 2.0
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("upper", "lower", "accented", "digit", "symbol", "mark", "space")
 KEEP = ("lang", "text")
@@ -61,6 +66,12 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def with_missing(counts: Column, ref: Column, expected: Column, hits: Column) -> Column:
+    """``counts`` smoothed toward ``ref``, and behind them how many of the ``expected`` hits are missing."""
+    smoothed = F.zip_with(counts, ref, lambda x, r: x + SMOOTHING * r)
+    return F.concat(smoothed, F.array(F.greatest(expected - hits, F.lit(0.0))))
+
+
 def common_words(docs: DataFrame, n_common: int = 32, fold: bool = True) -> DataFrame:
     """(lang, common): the most frequent words of all texts of a language, lower-cased with ``fold``."""
     base = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -74,13 +85,15 @@ def common_words(docs: DataFrame, n_common: int = 32, fold: bool = True) -> Data
 
 
 def references(measured: DataFrame, common: DataFrame, min_words: int, n_common: int, min_docs: int) -> DataFrame:
-    """(_ref_lang, _ref_classes, _ref_words): the mean histograms of each language, from measured documents."""
-    hist = let(measured.where(F.col("n_words") >= min_words).select("lang", "_n", "_w"), _total=summed(F.col("_w")))
+    """(_ref_lang, _ref_rate, _ref_classes, _ref_words): the mean histograms of each language and its mean share of
+    common words, from measured documents."""
+    hist = let(measured.where(F.col("n_words") >= min_words).select("lang", "n_words", "_n", "_w"), _total=summed(F.col("_w")))
     hist = let(hist, _c=shares(F.col("_n")), _s=shares(F.col("_w"), F.col("_total")))
     mean = [F.avg(F.get("_c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.avg(F.get("_s", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    ref = hist.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), *mean).where(F.col("n_docs") >= min_docs).join(common, "lang")
+    ref = hist.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("_total") / F.col("n_words")).alias("rate"), *mean).where(F.col("n_docs") >= min_docs).join(common, "lang")
     ref = ref.select(
         F.col("lang").alias("_ref_lang"),
+        F.col("rate").alias("_ref_rate"),
         F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(len(CLASSES))]).alias("_ref_classes"),
         F.slice(F.array(*[F.coalesce(f"w{i}", F.lit(0.0)) for i in range(n_common)]), 1, F.size("common")).alias("_ref_words"),
     )
@@ -133,7 +146,7 @@ def quality(
     class_limit: float = 0.35,
     word_limit: float = 0.65,
     min_words: int = 50,
-    min_common: int | None = 40,
+    min_common: int | None = None,
     n_common: int = 32,
     min_docs: int = 20,
     keep_text: bool = True,
@@ -153,12 +166,19 @@ def quality(
     ref = references(measured, common, min_words, n_common, min_docs)
     df = measured.join(ref, measured.lang == ref._ref_lang, "left")
     df = let(df, _hits=summed(F.col("_w")))
-    df = let(df, _c=shares(F.col("_n")), _s=shares(F.col("_w"), F.col("_hits")))
     judged = F.col("_ref_lang").isNotNull() & (F.col("n_words") >= min_words)
+    if min_common is None:
+        word_judged = judged
+        df = let(df, _ref_words=shares(F.col("_ref_words")))
+        df = let(df, _w=with_missing(F.col("_w"), F.col("_ref_words"), F.col("_ref_rate") * F.col("n_words"), F.col("_hits")), _ref_words=F.concat("_ref_words", F.array(F.lit(0.0))))
+        df = let(df, _hits=summed(F.col("_w")))
+    else:
+        word_judged = judged & (F.col("_hits") >= min_common)
+    df = let(df, _c=shares(F.col("_n")), _s=shares(F.col("_w"), F.col("_hits")))
     df = let(
         df,
         class_divergence=F.when(judged, js_distance(F.col("_c"), F.col("_ref_classes"))),
-        word_divergence=F.when(judged & (F.col("_hits") >= min_common), js_distance(F.col("_s"), F.col("_ref_words"))),
+        word_divergence=F.when(word_judged, js_distance(F.col("_s"), F.col("_ref_words"))),
     )
     bad = (F.coalesce("class_divergence", F.lit(0.0)) > class_limit) | (F.coalesce("word_divergence", F.lit(0.0)) > word_limit)
     rest = unbundle(docs, KEEP, NEW if keep_text else (*NEW, "text"))
@@ -170,8 +190,8 @@ def digest(result: DataFrame) -> DataFrame:
     return result.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 
-#: What ``ORACLE_SQL`` says of the common words: half as many as by default, in their own case.
-AS_SQL = {"n_common": 16, "fold": False}
+#: What ``ORACLE_SQL`` says of the common words: half as many as by default, in their own case, texts with few unjudged.
+AS_SQL = {"n_common": 16, "fold": False, "min_common": 40}
 
 #: For the default limits and ``AS_SQL``.
 ORACLE_SQL = r"""

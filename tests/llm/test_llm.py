@@ -368,6 +368,16 @@ def test_quality_common_words(spark):
     assert got[20].word_divergence == got[21].word_divergence == got[0].word_divergence is not None
 
 
+def test_quality_few_common_words(spark):
+    """Texts of any length with hardly any common word diverge; good ones with few hits do not."""
+    rows = QUERIES["op6_quality_whole"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id", "left").where("not base_failed").collect()
+    by_id = {r.doc_id: r for r in rows}
+    assert all(by_id[i].word_divergence > 0.65 and not by_id[i].kept for i in (809, 6582, 9757))
+    good = [r.word_divergence <= 0.65 for r in rows if r.quality == 1 and r.word_divergence is not None]
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert sum(good) >= 0.998 * len(good) and sum(bad) <= 0.01 * len(bad)
+
+
 def test_js_distance(spark):
     a = lambda *x: F.array(*map(F.lit, x))
     row = spark.range(1).select(quality.js_distance(a(0.5, 0.5), a(0.5, 0.5)), quality.js_distance(a(1.0, 0.0), a(0.0, 1.0)), quality.js_distance(a(0.2, 0.8), a(0.6, 0.4))).first()
