@@ -239,7 +239,8 @@ def _rerank(k: int):
 
 def search(rows: DataFrame, queries: Column, k: int = 20, router: Router | None = None, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best found of all rows for each row that ``queries`` holds for.
-    ``rows`` has vec_id and embedding."""
+    ``rows`` has vec_id and embedding.  A query row that is repeated is asked once; a repeated candidate is ranked once a
+    row.  Different vectors of one queried id are each asked and ranked together."""
     rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
     router = router or fit(rows, k=k)
     rows = rows.where(F.size("v") == router.dim)
@@ -249,7 +250,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, router: Router | None
     sizes = index.groupBy("part").count().collect()  # a row per part
     blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["part"], -(-r["count"] // block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(blocks, "part")).cast("int"))
-    asked = route(rows.where(queries), router.visits, k).select("vec_id", "v", "bound", F.explode("parts").alias("part"))
+    asked = route(rows.where(queries).distinct(), router.visits, k).select("vec_id", "v", "bound", F.explode("parts").alias("part"))
     asked = asked.withColumn("n", F.try_element_at(blocks, "part")).where("n is not null").select("vec_id", "v", "bound", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
     both = index.withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1)))
     order = ["part", "block", "side"]

@@ -421,6 +421,14 @@ def test_ann(spark):
     assert ann.search(df.where("vec_id >= 9000"), F.lit(True)).where("vec_id <> 9080").count() == 0
 
 
+def test_ann_repeated_query(spark):
+    x = np.random.default_rng(8).standard_normal((60, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:1] * 3, "vec_id long, embedding array<float>").repartition(3)
+    got = ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for i, _ in nearest(x.astype(np.float64), np.arange(60), 0)]
+
+
 def test_ann_recall_on_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
