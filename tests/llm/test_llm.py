@@ -429,6 +429,21 @@ def test_ann_repeated_query(spark):
     assert [r.vec_id for r in got] == [i for i, _ in nearest(x.astype(np.float64), np.arange(60), 0)]
 
 
+def test_ann_recall_with_parts(spark):
+    """Production parameters on a table that has several parts."""
+    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    v = rows.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & ann.valid(F.col("v")))
+    router = ann.fit(v, k=20)
+    assert 1 < router.visits < router.parts
+    got = {}
+    for r in ann.search(rows, F.col("vec_id") % 20 == 0, router=router).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    p = v.toPandas()
+    ids, x = p.vec_id.to_numpy(), np.array(p.v.tolist(), np.float64)
+    asked = [int(i) for i in ids if i % 20 == 0][:100]
+    assert sum(len({i for i, _ in nearest(x, ids, q)} & got[q]) for q in asked) >= 0.9 * 20 * len(asked)
+
+
 def test_ann_recall_on_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
