@@ -10,8 +10,7 @@ short texts (``min_words``) and languages with few documents (``min_docs``) are
 
 Common words that a text of its length should have and has not are a bin of their own, which the
 reference lacks: a text without any has a distance near 1.  ``SMOOTHING`` hits dealt as in the
-reference keep the noise of a short text's few hits small.  With ``min_common`` there is neither,
-and texts with fewer hits are not judged by their words.
+reference keep the noise of a short text's few hits small.
 
 No text is shuffled: the per-document part is one pass over arrays inside the row; the
 references (a row per language) are broadcast by Spark only if their written size is under
@@ -31,23 +30,22 @@ from .common import bundle, let, stage, unbundle, words_of
 
 SMOOTHING = 2.0
 SYMBOLS = "#*$%&|<>"
-CLASSES = ("upper", "lower", "accented", "digit", "symbol", "mark", "space")
+#: Letters A-Z, letters a-z, letters beyond ASCII, numbers, symbols, any other character, white space between words.
+CLASSES = ("upper", "lower", "beyond", "digit", "symbol", "mark", "space")
 KEEP = ("lang", "text")
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", "kept")
 
 
 def class_counts(text: Column, marks: Column, word_chars: Column) -> Column:
-    """Characters by class; an accented letter is told by its extra bytes.  Plain projections only: they share
-    subexpressions, generators do not."""
+    """Characters by class.  Plain projections only: they share subexpressions, generators do not."""
     text = F.coalesce(text, F.lit(""))
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+    upper = F.length(F.regexp_replace(text, r"[^A-Z]+", ""))
+    beyond = F.length(F.regexp_replace(text, r"[\x00-\x7F\P{L}]+", ""))
     space = F.length(text) - word_chars
     digit = F.length(marks) - F.length(F.regexp_replace(marks, r"\p{N}+", ""))
     symbol = F.length(marks) - F.length(F.translate(marks, SYMBOLS, ""))
-    letters = F.greatest(F.length(text) - F.length(marks) - space, F.lit(0))
-    accented = F.least(F.octet_length(text) - F.length(text), letters)
-    return F.array(*[x.cast("double") for x in (
-        upper, F.greatest(letters - upper - accented, F.lit(0)), accented, digit, symbol, F.length(marks) - digit - symbol, space)])
+    lower = F.length(text) - F.length(marks) - space - upper - beyond
+    return F.array(*[x.cast("double") for x in (upper, lower, beyond, digit, symbol, F.length(marks) - digit - symbol, space)])
 
 
 def summed(counts: Column) -> Column:
@@ -72,11 +70,10 @@ def with_missing(counts: Column, ref: Column, expected: Column, hits: Column) ->
     return F.concat(smoothed, F.array(F.greatest(expected - hits, F.lit(0.0))))
 
 
-def common_words(docs: DataFrame, n_common: int = 32, fold: bool = True) -> DataFrame:
-    """(lang, common): the most frequent words of all texts of a language, lower-cased with ``fold``."""
+def common_words(docs: DataFrame, n_common: int = 32) -> DataFrame:
+    """(lang, common): the most frequent words of all texts of a language, lower-cased."""
     base = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    words = base.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    words = words.select("lang", (F.lower("word") if fold else F.col("word")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = base.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     # The most frequent of each of 64 hash classes first: no task sorts a language's whole vocabulary.
     top = lambda df, keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where(F.col("r") <= n_common)
     words = top(words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64))), ["lang", "part"])
@@ -100,15 +97,17 @@ def references(measured: DataFrame, common: DataFrame, min_words: int, n_common:
     return stage(ref, "language-references")
 
 
-def with_common_counts(df: DataFrame, words: Column, common: str, name: str) -> DataFrame:
-    """Add ``name``: how often each word of the array column ``common`` occurs among ``words``."""
-    longest = F.array_max(F.transform(common, F.octet_length))
-    df = let(df, _longest=longest)
-    # Each word becomes its place in the array, once; the counts compare numbers.
-    df = let(df, _found=F.transform(F.filter(words, lambda w: F.octet_length(w) <= F.col("_longest")), lambda w: F.array_position(F.col(common), w)))
-    df = let(df, _found=F.array_remove("_found", F.lit(0).cast("long")))
-    counts = F.transform(common, lambda _, i: (F.size("_found") - F.size(F.array_remove("_found", i.cast("long") + 1))).cast("double"))
-    return df.withColumn(name, F.when(F.col("_found").isNotNull(), counts)).drop("_found", "_longest")
+def with_common_counts(df: DataFrame, text: Column, common: str, name: str, n_common: int) -> DataFrame:
+    """Add ``name``: how often each word of the array column ``common`` (``n_common`` at most) occurs in ``text``, lower-cased."""
+    listed = F.array_join(common, ",")
+    df = df.withColumns({"_list": listed, "_longest": F.array_max(F.transform(common, F.octet_length)), "_comma": F.exists(common, lambda w: F.contains(w, F.lit(",")))})
+    df = let(df, _low=F.filter(words_of(F.lower(text)), lambda w: F.octet_length(w) <= F.col("_longest")))
+    # Each word becomes one character that tells its place.  A list with a comma inside a word can't be searched as one text.
+    signs = "".join(chr(48 + i) for i in range(n_common + 1))
+    place = lambda w: F.when(F.col("_comma"), F.array_position(common, w).cast("int")).otherwise(F.find_in_set(w, F.col("_list")))
+    df = let(df, _places=F.array_join(F.transform("_low", lambda w: F.substring(F.lit(signs), place(w) + 1, F.lit(1))), ""))
+    counts = [(F.length("_places") - F.length(F.replace("_places", F.lit(c), F.lit("")))).cast("double") for c in signs[1:]]
+    return df.withColumn(name, F.when(F.col("_places").isNotNull(), F.slice(F.array(*counts), 1, F.size(common)))).drop("_list", "_longest", "_comma", "_low", "_places")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -146,39 +145,33 @@ def quality(
     class_limit: float = 0.35,
     word_limit: float = 0.65,
     min_words: int = 50,
-    min_common: int | None = None,
     n_common: int = 32,
     min_docs: int = 20,
     keep_text: bool = True,
-    fold: bool = True,
 ) -> DataFrame:
     """``docs`` (``text`` only with ``keep_text``) with the base columns, ``class_divergence``,
     ``word_divergence`` (null where not judged) and ``kept``."""
-    common = common_words(docs, n_common, fold)
+    common = common_words(docs, n_common)
     df = base_counts(docs)
     measures = [c for c in df.columns if c in NEW]
     df = df.withColumn("_n", class_counts(F.col("text"), F.col("_marks"), F.col("word_chars")))
     named = common.select(F.col("lang").alias("_lang"), F.col("common").alias("_common"))
     df = df.join(named, df.lang == named._lang, "left")
-    df = with_common_counts(df, F.transform("_words", F.lower) if fold else F.col("_words"), "_common", "_w")
+    df = with_common_counts(df, F.col("text"), "_common", "_w", n_common)
     # Written once: the references are means over these measures, and the verdict needs both.
     measured = stage(df.select("lang", *["text"] * keep_text, "_rest", *measures, "_n", "_w"), "measured-documents")
     ref = references(measured, common, min_words, n_common, min_docs)
     df = measured.join(ref, measured.lang == ref._ref_lang, "left")
     df = let(df, _hits=summed(F.col("_w")))
     judged = F.col("_ref_lang").isNotNull() & (F.col("n_words") >= min_words)
-    if min_common is None:
-        word_judged = judged
-        df = let(df, _ref_words=shares(F.col("_ref_words")))
-        df = let(df, _w=with_missing(F.col("_w"), F.col("_ref_words"), F.col("_ref_rate") * F.col("n_words"), F.col("_hits")), _ref_words=F.concat("_ref_words", F.array(F.lit(0.0))))
-        df = let(df, _hits=summed(F.col("_w")))
-    else:
-        word_judged = judged & (F.col("_hits") >= min_common)
+    df = let(df, _ref_words=shares(F.col("_ref_words")))
+    df = let(df, _w=with_missing(F.col("_w"), F.col("_ref_words"), F.col("_ref_rate") * F.col("n_words"), F.col("_hits")), _ref_words=F.concat("_ref_words", F.array(F.lit(0.0))))
+    df = let(df, _hits=summed(F.col("_w")))
     df = let(df, _c=shares(F.col("_n")), _s=shares(F.col("_w"), F.col("_hits")))
     df = let(
         df,
         class_divergence=F.when(judged, js_distance(F.col("_c"), F.col("_ref_classes"))),
-        word_divergence=F.when(word_judged, js_distance(F.col("_s"), F.col("_ref_words"))),
+        word_divergence=F.when(judged, js_distance(F.col("_s"), F.col("_ref_words"))),
     )
     bad = (F.coalesce("class_divergence", F.lit(0.0)) > class_limit) | (F.coalesce("word_divergence", F.lit(0.0)) > word_limit)
     rest = unbundle(docs, KEEP, NEW if keep_text else (*NEW, "text"))
@@ -190,36 +183,62 @@ def digest(result: DataFrame) -> DataFrame:
     return result.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 
-#: What ``ORACLE_SQL`` says of the common words: half as many as by default, in their own case, texts with few unjudged.
-AS_SQL = {"n_common": 16, "fold": False, "min_common": 40}
-
-#: For the default limits and ``AS_SQL``.
+#: For the defaults.  Each class is counted by a pattern of its own.
 ORACLE_SQL = r"""
-WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, text IS NULL AS gone, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM h WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-m AS (SELECT w.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
-             coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, regexp_replace(text, '[\p{L}\x09-\x0D ]+', '', 'g') AS marks,
-             length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS upper
-      FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id),
-k AS (SELECT *, length(text) - word_chars AS space, length(marks) - length(regexp_replace(marks, '\p{N}+', '', 'g')) AS digit, greatest(word_chars - length(marks), 0) AS letters FROM m),
-a AS (SELECT *, least(strlen(text) - length(text), letters) AS accented FROM k),
-c AS (SELECT *, [upper, greatest(letters - upper - accented, 0), accented, digit, n_symbols, length(marks) - digit - n_symbols, space]::DOUBLE[] AS nc FROM a),
-t AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS p FROM (SELECT lang, unnest(ws) AS word FROM w WHERE lang IS NOT NULL) GROUP BY lang, word),
-o AS (SELECT lang, list(word ORDER BY p) AS common FROM t WHERE p <= 16 GROUP BY lang),
-v AS (SELECT c.*, common, list_transform(common, lambda x: len(list_filter(ws, lambda y: y = x))::DOUBLE) AS nw FROM c LEFT JOIN o ON o.lang = c.lang),
-s AS (SELECT *, list_transform(nc, lambda x: CASE WHEN list_sum(nc) > 0 THEN x / list_sum(nc) ELSE 0 END) AS pc, list_transform(nw, lambda x: CASE WHEN list_sum(nw) > 0 THEN x / list_sum(nw) ELSE 0 END) AS pw FROM v),
-f AS (SELECT lang, list(x ORDER BY i) AS rc FROM (SELECT lang, i, avg(x) AS x FROM (SELECT lang, unnest(pc) AS x, unnest(range(1, len(pc) + 1)) AS i FROM s WHERE n_words >= 50) GROUP BY lang, i) GROUP BY lang),
-q AS (SELECT lang, list(x ORDER BY i) AS rw FROM (SELECT lang, i, avg(x) AS x FROM (SELECT lang, unnest(pw) AS x, unnest(range(1, len(pw) + 1)) AS i FROM s WHERE n_words >= 50) GROUP BY lang, i) GROUP BY lang),
-e AS (SELECT lang FROM s WHERE n_words >= 50 AND common IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
-z AS (SELECT s.*, CASE WHEN n_words >= 50 AND e.lang IS NOT NULL THEN list_zip(pc, rc) END AS zc, CASE WHEN n_words >= 50 AND e.lang IS NOT NULL AND list_sum(nw) >= 40 THEN list_zip(pw, rw) END AS zw
-      FROM s LEFT JOIN f ON f.lang = s.lang LEFT JOIN q ON q.lang = s.lang LEFT JOIN e ON e.lang = s.lang),
-d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             sqrt(greatest(list_sum(list_transform(zc, lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END)) / 2, 0)) AS dc,
-             sqrt(greatest(list_sum(list_transform(zw, lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END)) / 2, 0)) AS dw FROM z)
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT w.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS lower,
+         length(regexp_replace(regexp_replace(text, '[\x00-\x7F]', '', 'g'), '[^\p{L}]', '', 'g')) AS beyond,
+         length(regexp_replace(text, '[^\p{N}]', '', 'g')) AS digit, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS space
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (
+  SELECT *, list_transform(ws, lambda x: lower(x)) AS lws,
+         [upper, lower, beyond, digit, n_symbols, length(text) - upper - lower - beyond - digit - n_symbols - space, space]::DOUBLE[] AS nc FROM m),
+t AS (
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS p
+  FROM (SELECT lang, unnest(lws) AS word FROM c WHERE lang IS NOT NULL) GROUP BY lang, word),
+o AS (SELECT lang, list(word ORDER BY p) AS common FROM t WHERE p <= 32 GROUP BY lang),
+v AS (
+  SELECT c.*, common, list_transform(common, lambda x: len(list_filter(lws, lambda y: y = x))::DOUBLE) AS nw
+  FROM c LEFT JOIN o ON o.lang = c.lang),
+s AS (
+  SELECT *, list_transform(nc, lambda x: CASE WHEN list_sum(nc) > 0 THEN x / list_sum(nc) ELSE 0 END) AS pc,
+         list_transform(nw, lambda x: CASE WHEN list_sum(nw) > 0 THEN x / list_sum(nw) ELSE 0 END) AS pw FROM v),
+f AS (
+  SELECT lang, list(x ORDER BY i) AS rc
+  FROM (SELECT lang, i, avg(x) AS x FROM (SELECT lang, unnest(pc) AS x, unnest(range(1, len(pc) + 1)) AS i FROM s WHERE n_words >= 50) GROUP BY lang, i) GROUP BY lang),
+q AS (
+  SELECT lang, list(x ORDER BY i) AS rw
+  FROM (SELECT lang, i, avg(x) AS x FROM (SELECT lang, unnest(pw) AS x, unnest(range(1, len(pw) + 1)) AS i FROM s WHERE n_words >= 50) GROUP BY lang, i) GROUP BY lang),
+e AS (SELECT lang, avg(list_sum(nw) / n_words) AS rate FROM s WHERE n_words >= 50 AND common IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
+-- Two smoothing hits, dealt as in the reference; the hits that are missing are the last bin.
+y AS (
+  SELECT s.*, rc, list_transform(rw, lambda x: CASE WHEN list_sum(rw) > 0 THEN x / list_sum(rw) ELSE 0 END) AS rn, rate, n_words >= 50 AND e.lang IS NOT NULL AS judged
+  FROM s LEFT JOIN f ON f.lang = s.lang LEFT JOIN q ON q.lang = s.lang LEFT JOIN e ON e.lang = s.lang),
+x AS (
+  SELECT *, list_append(list_transform(list_zip(nw, rn), lambda x: x[1] + 2 * x[2]), greatest(rate * n_words - list_sum(nw), 0)) AS kw,
+         list_append(rn, 0.0) AS rm FROM y),
+z AS (
+  SELECT *, CASE WHEN judged THEN list_zip(pc, rc) END AS zc,
+         CASE WHEN judged THEN list_zip(list_transform(kw, lambda x: CASE WHEN list_sum(kw) > 0 THEN x / list_sum(kw) ELSE 0 END), rm) END AS zw FROM x),
+d AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         sqrt(greatest(list_sum(list_transform(zc, lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END
+                                                             + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END)) / 2, 0)) AS dc,
+         sqrt(greatest(list_sum(list_transform(zw, lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END
+                                                             + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END)) / 2, 0)) AS dw FROM z)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        CASE WHEN zc IS NULL THEN NULL ELSE round(dc, 6) END AS class_divergence, CASE WHEN zw IS NULL THEN NULL ELSE round(dw, 6) END AS word_divergence,
        NOT base_failed AND (zc IS NULL OR dc <= 0.35) AND (zw IS NULL OR dw <= 0.65) AS kept
 FROM d

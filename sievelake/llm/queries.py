@@ -30,12 +30,6 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return quality.digest(quality.quality(docs, keep_text=False, **quality.AS_SQL)).drop("lang")
-
-
-def op6_quality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the operator's defaults, as in the pipeline; ``op6_quality_rules`` is held to its SQL."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.digest(quality.quality(docs, keep_text=False)).drop("lang")
 
@@ -69,7 +63,6 @@ QUERIES = {
         op4_best_fit_packing,
         op5_substring_dedup,
         op6_quality_rules,
-        op6_quality_whole,
         op7_learned_partitions,
         op8_chat_formatting,
         op9_lm_scores,
