@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Key of the word hash.
+KEY = 0x5EED0F511E7E
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -22,24 +25,10 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTES = mix(np.arange(256, dtype=_U), 7)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, 2**bits of them."""
-    n = 1 << bits
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(n, base, _U)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=_U))
-    return out[0], out[1]
-
-
 def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, offsets of each text's words) of a string column; null texts have none."""
     if column.null_count:
@@ -62,19 +51,12 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     after = np.r_[solid[1:], False]
     after[inner - 1] = False
     end = np.flatnonzero(solid & ~after) + 1
-    hashes = np.empty(len(start), _U)
-    # In runs of bytes, so that the sums over prefixes stay small beside the text itself.
-    step = 1 << 22
-    at = 0
-    while at < len(start):
-        upto = max(at + 1, int(np.searchsorted(end, start[at] + step, "right")))
-        a, b = start[at:upto] - start[at], end[at:upto] - start[at]
-        power, inverse = _powers(max(16, int(b[-1]).bit_length()))
-        sums = np.zeros(int(b[-1]) + 1, _U)
-        np.cumsum(_BYTES[data[start[at] : start[at] + b[-1]]] * power[: b[-1]], dtype=_U, out=sums[1:])
-        hashes[at:upto] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
-        at = upto
-    return hashes, np.searchsorted(start, offsets).astype(np.int64)
+    # Each different word of the batch is hashed once, by a keyed hash of all its bytes.
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=ends[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])]).dictionary_encode()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w, KEY) for w in words.dictionary.to_pylist()), _U, len(words.dictionary))
+    return known[words.indices.to_numpy()], np.searchsorted(start, offsets).astype(np.int64)
 
 
 def ngrams(words: np.ndarray, n: int, salt: int = 1) -> np.ndarray:
@@ -94,3 +76,33 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, _U)
     return np.unique(ngrams(words, min(n, len(words)), n if len(words) >= n else 1000 + len(words)))
+
+
+def digest128(raw: bytes) -> tuple[int, int]:
+    """128 bits of a cryptographic hash, as two signed numbers."""
+    d = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int, size: int = 64) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of at most ``size`` rows that are alike in their first ``key`` columns, of rows that come sorted by them;
+    with each, whether it begins a new key."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(key)]
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            here = tuple(c[a] for c in columns)
+            for i in range(a, b, size):
+                yield here != last, batch.slice(i, min(size, b - i))
+                last = here

@@ -1,24 +1,29 @@
 """Substring dedup by relative Lempel-Ziv parsing over words.
 
-The reference of a document is every document with a smaller doc_id, indexed by windows of
-``window`` words in hash-partitioned blocks.  A document is factored greedily against all
-blocks: a factor begins at a window that the index holds and grows while the next window is
-held as well, so it has ``window`` words at least; windows that lie across the end of one factor
-and the start of the next are looked up like any other, which is the check at factor
-boundaries.  Factors become duplicate spans, and their words are removed.
+A document is parsed against reference blocks: documents with a smaller doc_id.  An index of windows
+of ``window`` words tells which block to parse against, and the parse works on words:
 
-To keep the index small it is built in three steps, each exact:
-
-1. Documents with the same words as one with a smaller doc_id are duplicates as a whole; only the first
-   of a class is indexed and factored.
+1. Documents with the same words as one with a smaller doc_id (128 bits of a cryptographic hash over
+   the words) are duplicates as a whole; only the first of a class is indexed and parsed.
 2. Each window has an anchor, its lowest-hashed 5-gram.  Equal windows have equal anchors, so windows
-   matter only where the anchor occurs in two documents.
-3. Those windows are counted by 128 bits of hash; the smallest doc_id of each that has two is the index.
+   matter only where the anchor occurs in two documents.  Windows in a row that share an anchor's
+   place are one row.
+3. The index has, for each window that occurs in two documents, the smallest doc_id: its block.
+4. A stretch of a document is a run of windows indexed under the same block.  Every different stretch
+   is parsed once against its block: from the first word on, the longest match in the block that
+   has ``window`` words is a factor; the next factor is sought from the first window that crosses the
+   end of the last one, which is the check at factor boundaries.  Matches are compared word by word.
+5. Factors become duplicate spans, and their words are removed.
+
+Stretches of one block are dealt to as many tasks as their bytes need (``TASK_BYTES``), and the
+block's text goes to each of them once.  Hashes only propose: no word goes without a factor, and
+a factor is equal words.  A window is missed only if both its 64-bit hashes collide.
 
 Defined cases: null or empty text and fewer words than a window: nothing is removed; a null
 doc_id is no smaller than another, its row is neither index nor cut; rows of one doc_id do not
-cut each other; an empty table gives no rows; white space of texts that lose nothing is kept by
-``dedup_substrings`` (null stays null); extra columns pass through there.
+cut each other, whether they repeat a text or hold several (all are blocks for larger ids); an
+empty table gives no rows; white space of texts that lose nothing is kept by ``dedup_substrings``
+(null stays null); extra columns pass through there, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bundle, drop, stage, unbundle
-from .shingles import mix, ngrams, word_hashes
+from .shingles import digest128, ngrams, raw_texts, runs, word_hashes
 
 GRAM = 5
+#: Bytes of stretches that one task holds against a block.
+TASK_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -50,45 +57,40 @@ def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.ListArray:
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor hash, place) of each window of one text's word hashes."""
-    grams = ngrams(words, GRAM, 3)
+    gram = min(GRAM, window)
+    grams = ngrams(words, gram, 3)
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     best, place = grams[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, window - GRAM + 1):
+    for j in range(1, window - gram + 1):
         less = grams[j : j + n] < best
         best[less] = grams[j : j + n][less]
         place[less] = j
     return best, place + np.arange(n)
 
 
-def word_key(words: np.ndarray) -> tuple[int, int]:
-    """128 bits over a whole sequence of words."""
-    at = np.arange(len(words), dtype=_U) * _U(0x9E3779B97F4A7C15)
-    return mix(words ^ mix(at, 51), 52).sum(dtype=_U), mix(words + mix(at, 53), 54).sum(dtype=_U)
-
-
 def _profiles(window: int):
+    """(doc_id, h, n_words, k1, k2, anchors) of rows (doc_id, h, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows = batch.slice(i, 512)
-                words, at = word_hashes(rows.column(1))
-                keys, lists = [], []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    keys.append(word_key(words[a:b]))
-                    lists.append(np.unique(anchors(words[a:b], window)[0]))
-                k = np.array(keys, _U).reshape(-1, 2)
+                words, at = word_hashes(rows.column(2))
+                keys = [digest128(b" ".join(x.split())) for x in raw_texts(rows.column(2))]
+                lists = [np.unique(anchors(words[a:b], window)[0]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.diff(at)), _signed(k[:, 0]), _signed(k[:, 1]), _lists(lists)],
-                    names=["doc_id", "n_words", "k1", "k2", "anchors"],
+                    [*rows.columns[:2], pa.array(np.diff(at)), *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True)), _lists(lists)],
+                    names=["doc_id", "h", "n_words", "k1", "k2", "anchors"],
                 )
 
     return run
 
 
 def _windows(window: int):
-    """Windows whose anchor is among the repeated ones: (doc_id, k1, place, anchor, hash)."""
+    """Windows whose anchor is among the repeated ones, those in a row with one anchor together: (doc_id, h, place,
+    anchor, hashes) of rows (doc_id, h, text, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,33 +98,121 @@ def _windows(window: int):
                 rows = batch.slice(i, 128)
                 words, at = word_hashes(rows.column(2))
                 repeated = rows.column(3)
-                docs, keys, places, marks, hashes = [], [], [], [], []
-                for r, (a, b, doc, key) in enumerate(zip(at[:-1], at[1:], rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
-                    if int(np.array(word_key(words[a:b])[0], _U).view(np.int64)) != key:
-                        continue  # another text of the same doc_id
-                    mark, _ = anchors(words[a:b], window)
-                    held = repeated[r].values.to_numpy(zero_copy_only=False).view(_U)
-                    at_ = np.flatnonzero(np.isin(mark, held))
-                    docs.append(np.full(len(at_), doc, np.int64))
-                    keys.append(np.full(len(at_), key, np.int64))
-                    places.append(at_)
-                    marks.append(mark[at_])
-                    hashes.append(ngrams(words[a:b], window, 5)[at_])
-                if not docs:
+                who, places, marks, sizes, hashes = [], [], [], [], []
+                for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    mark, origin = anchors(words[a:b], window)
+                    held = np.flatnonzero(np.isin(mark, repeated[r].values.to_numpy(zero_copy_only=False).view(_U)))
+                    if not len(held):
+                        continue
+                    first = np.flatnonzero(np.r_[True, (np.diff(held) != 1) | (np.diff(origin[held]) != 0)])
+                    who.append(np.full(len(first), r))
+                    places.append(held[first])
+                    marks.append(mark[held[first]])
+                    sizes.append(np.diff(np.r_[first, len(held)]))
+                    hashes.append(ngrams(words[a:b], window, 5)[held])
+                if not who:
                     continue
-                columns = [pa.array(np.concatenate(x)) for x in (docs, keys)] + [pa.array(np.concatenate(places).astype(np.int32)), _signed(np.concatenate(marks)), _signed(np.concatenate(hashes))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "place", "anchor", "hash"])
+                who = pa.array(np.concatenate(who))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)), _signed(np.concatenate(hashes)))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(who), rows.column(1).take(who), pa.array(np.concatenate(places).astype(np.int32)), _signed(np.concatenate(marks)), lists],
+                    names=["doc_id", "h", "place", "anchor", "hashes"],
+                )
 
     return run
 
 
-def factors(places: np.ndarray, window: int) -> np.ndarray:
-    """Greedy parse: (first word, words) of each factor, from the sorted places of indexed windows."""
+def stretches(places: np.ndarray, blocks: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(first word, words, block) of runs of indexed windows under one block; places are sorted and distinct."""
     if not len(places):
-        return np.zeros((0, 2), np.int64)
-    first = np.flatnonzero(np.r_[True, np.diff(places) != 1])
-    runs = np.diff(np.r_[first, len(places)])
-    return np.stack([places[first], runs + window - 1], axis=1)
+        return []
+    first = np.flatnonzero(np.r_[True, (np.diff(places) != 1) | (np.diff(blocks) != 0)])
+    sizes = np.diff(np.r_[first, len(places)]) + window - 1
+    return list(zip(places[first].tolist(), sizes.tolist(), blocks[first].tolist(), strict=True))
+
+
+def _stretches(window: int):
+    """(doc_id, h, place, ref, s1, s2, part) of rows (doc_id, h, text, hits)."""
+    names = ["doc_id", "h", "place", "ref", "s1", "s2", "part"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                rows = batch.slice(i, 128)
+                out = []
+                for doc, h, text, hits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), raw_texts(rows.column(2)), rows.column(3), strict=True):
+                    places, refs = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    places, at = np.unique(places, return_index=True)
+                    words = text.split()
+                    for place, size, ref in stretches(places, refs[at], window):
+                        part = b" ".join(words[place : place + size])
+                        out.append((doc, h, place, ref, *digest128(part), part.decode()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+class Block:
+    """A reference block: words of one text, to be matched against."""
+
+    def __init__(self, text: bytes, hashes: np.ndarray, window: int) -> None:
+        self.words, self.hashes, self.window = text.split(), hashes, window
+        grams = ngrams(hashes, window, 5)
+        self.order = np.argsort(grams, kind="stable")
+        self.grams = grams[self.order]
+
+    def longest(self, words: list[bytes], hashes: np.ndarray, gram: np.uint64, at: int) -> int:
+        """Words of the longest match of ``words`` from ``at`` on that stands in the block; 0 if it has less than a window."""
+        best = 0
+        lo, hi = (int(np.searchsorted(self.grams, gram, side)) for side in ("left", "right"))
+        for place in self.order[lo:hi].tolist():
+            n = min(len(hashes) - at, len(self.hashes) - place)
+            if n <= best:
+                continue
+            differ = np.flatnonzero(hashes[at : at + n] != self.hashes[place : place + n])
+            n = int(differ[0]) if len(differ) else n
+            # Hashes propose, words decide.
+            if n > best and n >= self.window and words[at : at + n] == self.words[place : place + n]:
+                best = n
+        return best
+
+
+def factors(words: list[bytes], hashes: np.ndarray, blocks: list[Block], window: int) -> list[tuple[int, int]]:
+    """Greedy parse of a stretch: (first word, words) of each factor; neighbours overlap by the windows across their boundary."""
+    grams, out, at = ngrams(hashes, window, 5), [], 0
+    while at < len(grams):
+        size = max((b.longest(words, hashes, grams[at], at) for b in blocks), default=0)
+        if size:
+            out.append((at, size))
+        # The first window that is not inside this factor.
+        at += max(1, size - window + 1)
+    return out
+
+
+def _parse(window: int):
+    """(ref, s1, s2, starts, sizes) of rows (ref, salt, side, s1, s2, part) that come sorted, blocks first."""
+    names = ["ref", "s1", "s2", "starts", "sizes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[Block] = []
+        for new, rows in runs(batches, 2):
+            if new:
+                blocks = []
+            words, at = word_hashes(rows.column(5))
+            found = []
+            for r, (side, text) in enumerate(zip(rows.column(2).to_pylist(), raw_texts(rows.column(5)), strict=True)):
+                hashes = words[at[r] : at[r + 1]]
+                if side == 0:
+                    blocks.append(Block(text, hashes, window))
+                else:
+                    found.append((r, np.array(factors(text.split(), hashes, blocks, window), np.int64).reshape(-1, 2)))
+            if found:
+                mine = rows.take(pa.array([r for r, _ in found]))
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(3), mine.column(4), _lists([f[:, 0] for _, f in found]), _lists([f[:, 1] for _, f in found])], names=names)
+
+    return run
 
 
 def keep_mask(n_words: int, spans: np.ndarray) -> np.ndarray:
@@ -133,46 +223,55 @@ def keep_mask(n_words: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(turn[:-1]) == 0
 
 
-def _spans(window: int):
-    """Factors of each document from its places, which come as a list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, sizes = [], []
-            for x in batch.column(2):
-                s = factors(np.unique(x.values.to_numpy(zero_copy_only=False)), window)
-                starts.append(s[:, 0])
-                sizes.append(s[:, 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(starts), _lists(sizes)], names=["doc_id", "k1", "starts", "sizes"])
-
-    return run
+def with_key(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): ``h`` tells the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
 
 
 def duplicate_spans(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(copies, spans): doc_id, k1 of documents that are copies as a whole; doc_id, k1, starts, sizes of the factors of
+    """(copies, spans): doc_id, h of documents that are copies as a whole; doc_id, h, starts, sizes of the factors of
     the others that have any."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    profiles = stage(docs.mapInArrow(_profiles(window), "doc_id long, n_words long, k1 long, k2 long, anchors array<long>"), "profiles")
+    docs = with_key(docs)
+    profiles = stage(docs.mapInArrow(_profiles(window), "doc_id long, h long, n_words long, k1 long, k2 long, anchors array<long>"), "profiles")
     whole = profiles.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     first = stage(whole.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("first_id")), "word-classes")
-    one = stage(first.select(F.col("first_id").alias("doc_id"), "k1").distinct(), "first-of-class")
-    held = whole.join(one, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "k1", F.explode("anchors").alias("anchor"))
+    named = whole.select("doc_id", "h", "k1", "k2", "n_words").join(first, ["k1", "k2", "n_words"])
+    named = stage(named.select("doc_id", "h", (F.col("doc_id") > F.col("first_id")).alias("is_copy")).distinct(), "copies")
+    firsts = named.where("not is_copy").select("doc_id", "h")
+    held = whole.join(firsts, ["doc_id", "h"], "left_semi").select("doc_id", "h", F.explode("anchors").alias("anchor"))
     twice = held.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     twice = stage(twice, "repeated-anchors")
-    marked = held.join(twice, "anchor", "left_semi").groupBy("doc_id", "k1").agg(F.collect_list("anchor").alias("anchors"))
+    marked = held.join(twice, "anchor", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors"))
     marked = stage(marked, "marked-documents")
-    found = docs.join(marked.withColumnRenamed("k1", "_k1"), "doc_id").select("doc_id", "_k1", "text", "anchors")
-    windows = stage(found.mapInArrow(_windows(window), "doc_id long, k1 long, place int, anchor long, hash long"), "windows")
-    index = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    drop(profiles, first, twice)
+    found = docs.join(marked, ["doc_id", "h"]).select("doc_id", "h", "text", "anchors")
+    windows = stage(found.mapInArrow(_windows(window), "doc_id long, h long, place int, anchor long, hashes array<long>"), "windows")
+    each = windows.select("anchor", F.posexplode("hashes").alias("k", "hash"), "doc_id", "h", "place")
+    index = each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     index = stage(index.select("anchor", "hash", "lo"), "window-index")
-    hits = windows.join(index, ["anchor", "hash"]).where("doc_id > lo").groupBy("doc_id", "k1").agg(F.collect_list("place").alias("places"))
-    spans = stage(hits.mapInArrow(_spans(window), "doc_id long, k1 long, starts array<long>, sizes array<long>"), "spans")
+    hits = each.join(index, ["anchor", "hash"]).where("doc_id > lo").groupBy("doc_id", "h")
+    hits = stage(hits.agg(F.collect_set(F.struct((F.col("place") + F.col("k")).alias("place"), F.col("lo").alias("ref"))).alias("hits")), "hits")
     drop(marked, windows, index)
-    copies = profiles.select("doc_id", "n_words", "k1", "k2").join(first, ["k1", "k2", "n_words"], "left")
-    copies = copies.select("doc_id", "k1", "n_words", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("is_copy"))
-    copies = stage(copies.where("is_copy").select("doc_id", "k1").distinct(), "copies")
-    drop(profiles, first, one, twice)
-    return copies, spans
+    # A repeated row gives its stretches again; both lead to the same spans.
+    parts = docs.join(hits, ["doc_id", "h"]).select("doc_id", "h", "text", "hits")
+    parts = stage(parts.mapInArrow(_stretches(window), "doc_id long, h long, place int, ref long, s1 long, s2 long, part string"), "stretches")
+    drop(hits)
+    asked = stage(parts.groupBy("ref", "s1", "s2").agg(F.first("part").alias("part")), "different-stretches")
+    loads = asked.groupBy("ref").agg(F.ceil(F.sum(F.octet_length("part")) / TASK_BYTES).cast("int").alias("tasks"))
+    loads = stage(loads, "block-loads")
+    blocks = docs.join(loads, docs.doc_id == loads.ref).groupBy("ref", "tasks", "h").agg(F.first("text").alias("text"))
+    blocks = blocks.select("ref", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), "h", "text")
+    blocks = blocks.select("ref", "salt", F.lit(0).alias("side"), F.col("h").alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("text").alias("part"))
+    asked_of = asked.join(loads, "ref").select("ref", F.pmod("s1", "tasks").cast("int").alias("salt"), F.lit(1).alias("side"), "s1", "s2", "part")
+    dealt = blocks.unionByName(asked_of).repartition("ref", "salt").sortWithinPartitions("ref", "salt", "side", "s1")
+    parsed = stage(dealt.mapInArrow(_parse(window), "ref long, s1 long, s2 long, starts array<long>, sizes array<long>"), "factors")
+    drop(asked, loads)
+    spans = parts.select("doc_id", "h", "place", "ref", "s1", "s2").distinct().join(parsed, ["ref", "s1", "s2"])
+    spans = spans.select("doc_id", "h", F.explode(F.zip_with("starts", "sizes", lambda x, n: F.struct((x + F.col("place")).alias("start"), n.alias("size")))).alias("f"))
+    spans = spans.groupBy("doc_id", "h").agg(F.collect_list("f").alias("f"))
+    spans = stage(spans.select("doc_id", "h", F.col("f.start").alias("starts"), F.col("f.size").alias("sizes")), "spans")
+    drop(parts, parsed)
+    return named.where("is_copy").select("doc_id", "h"), spans
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -181,13 +280,13 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     keep, new = ("doc_id", "text"), ("n_words", "n_removed")
     rest = bundle(docs, keep, new)
     copies, spans = duplicate_spans(rest, window)
-    cuts = copies.select("doc_id", "k1", F.lit(True).alias("_all"), F.lit(None).cast("array<long>").alias("_starts"), F.lit(None).cast("array<long>").alias("_sizes")).unionByName(
-        spans.select("doc_id", "k1", F.lit(False).alias("_all"), F.col("starts").alias("_starts"), F.col("sizes").alias("_sizes"))
+    none = F.lit(None).cast("array<long>")
+    cuts = copies.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), none.alias("_starts"), none.alias("_sizes")).unionByName(
+        spans.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("starts").alias("_starts"), F.col("sizes").alias("_sizes"))
     )
-    # A doc_id with several texts has several cuts; which is a text's own is told by k1 where the words are.
-    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "_all", "_starts", "_sizes")).alias("_cuts")).withColumnRenamed("doc_id", "_doc")
-    joined = rest.join(cuts, rest.doc_id.cast("long") == F.col("_doc"), "left").drop("_doc")
+    on = (rest.doc_id.cast("long") == F.col("_doc")) & (F.xxhash64(rest.text) == F.col("_h"))
     names = rest.columns
+    joined = rest.join(cuts, on, "left").select(*names, F.col("_doc").isNotNull().alias("_cut"), "_starts", "_sizes")
     at = names.index("text")
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rest.schema.fields), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -195,27 +294,21 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows = batch.slice(i, 256)
-                words, offsets = word_hashes(rows.column(at))
-                texts, cut_lists = rows.column(at).to_pylist(), rows.column(len(names)).to_pylist()
-                removed = np.zeros(len(texts), np.int64)
-                for r, cut in enumerate(cut_lists):
-                    if not cut:
-                        continue
-                    w = words[offsets[r] : offsets[r + 1]]
-                    key = int(np.array(word_key(w)[0], _U).view(np.int64))
-                    for c in cut:
-                        if c["k1"] == key:
-                            spans = np.array([[0, len(w)]]) if c["_all"] else np.stack([c["_starts"], c["_sizes"]], axis=1)
-                            keep = keep_mask(len(w), spans)
-                            own = texts[r].encode().split()
-                            texts[r] = b" ".join([x for x, k in zip(own, keep, strict=True) if k]).decode()
-                            removed[r] = len(w) - int(keep.sum())
-                            break
-                columns = [*rows.columns[: len(names)], pa.array(np.diff(offsets)), pa.array(removed)]
+                texts, n_words, removed = rows.column(at).to_pylist(), [], []
+                for r, (raw, cut, starts, sizes) in enumerate(zip(raw_texts(rows.column(at)), rows.column(len(names)).to_pylist(), rows.column(len(names) + 1), rows.column(len(names) + 2), strict=True)):
+                    own = raw.split()
+                    n_words.append(len(own))
+                    removed.append(0)
+                    if cut:
+                        spans = np.stack([x.values.to_numpy(zero_copy_only=False) for x in (starts, sizes)], axis=1) if starts.is_valid else np.array([[0, len(own)]])
+                        kept = keep_mask(len(own), spans)
+                        texts[r] = b" ".join([x for x, k in zip(own, kept, strict=True) if k]).decode()
+                        removed[r] = len(own) - int(kept.sum())
+                columns = [*rows.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64())]
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_removed"])
 
-    return joined.select(*names, "_cuts").mapInArrow(run, schema).select(*unbundle(docs, keep, new), *new)
+    return joined.mapInArrow(run, schema).select(*unbundle(docs, keep, new), *new)
 
 
 def digest(result: DataFrame) -> DataFrame:

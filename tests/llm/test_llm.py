@@ -326,6 +326,45 @@ def test_substring_same_id(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 40 + len(b[:60].split()) - (not b[60].isspace())), (3, 40)]
 
 
+def thue_morse(n, flip):
+    """Words that a polynomial modulo a power of two can't tell apart."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_substring_words_not_hashes(spark):
+    x, y = thue_morse(2048, 0), thue_morse(2048, 1)
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{y} {rest} end")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == substrings_by_hand(rows)
+    # Equal hashes, other words: no match.
+    words = [w.encode() for w in "a b c d e f g h".split()]
+    hashes = np.arange(8, dtype=np.uint64)
+    block = substring_dedup.Block(b"a b c X e f g h", hashes, 3)
+    grams = shingles.ngrams(hashes, 3, 5)
+    assert [block.longest(words, hashes, grams[k], k) for k in range(6)] == [0, 0, 0, 0, 4, 3]
+
+
+def test_substring_factors(spark):
+    """A factor stands in one block as a whole: two blocks give two factors, that meet."""
+    w = [f"u{i}" for i in range(14)]
+    rows = [(1, " ".join(w[:13])), (2, " ".join(w[1:])), (3, " ".join(w)), (4, "x " + " ".join(w[:13]) + " y " + " ".join(w[1:]) + " z"), (None, " ".join(w)), (3, " ".join(w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, spans = substring_dedup.duplicate_spans(df)
+    got = {r.doc_id: sorted(zip(r.starts, r.sizes, strict=True)) for r in spans.collect()}
+    assert got == {3: [(0, 13), (1, 13)], 4: [(1, 13), (15, 13)]}
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.dedup_substrings(df).collect()) == [(0, 0), (1, 0), (2, 0), (3, 14), (3, 14), (4, 26)]
+
+
+def test_substring_against_hand(spark, monkeypatch):
+    """Few different words, so that windows repeat within and across documents; blocks dealt to many tasks."""
+    monkeypatch.setattr(substring_dedup, "TASK_BYTES", 200)
+    rng = random.Random(4)
+    rows = [(i, rng_text(rng, rng.randint(0, 90), ("a", "b"))) for i in range(60)] + [(100, "a " * 400), (101, "a " * 300 + "b")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 5)).collect()}
+    assert got == substrings_by_hand(rows, 5)
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
