@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 _U = np.uint64
 #: Key of the word hash.
@@ -27,6 +26,28 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: A keyed value for each byte at each of the first places of a word.
+_PLACES = 64
+_TABLE = mix(np.arange(_PLACES * 256, dtype=_U), KEY)
+
+
+def _sums(body: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word from the words' bytes, which stand without gaps: the sum of a value for each byte at its place."""
+    out = np.empty(len(ends) - 1, _U)
+    at = 0
+    while at < len(out):  # in runs, so that little stands beside the text itself
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), "right")) - 1)
+        part, sizes = body[ends[at] : ends[upto]], np.diff(ends[at : upto + 1])
+        place = np.arange(len(part)) - np.repeat(ends[at:upto] - ends[at], sizes)
+        far = np.flatnonzero(place >= _PLACES)
+        index = place * 256 + part
+        index[far] = 0
+        values = _TABLE[index]
+        if len(far):
+            values[far] = mix(place[far].astype(_U) * _U(256) + part[far], KEY)
+        out[at:upto] = mix(np.add.reduceat(values, ends[at:upto] - ends[at]), 7) + sizes.astype(_U)
+        at = upto
+    return out
 
 
 def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +72,14 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     after = np.r_[solid[1:], False]
     after[inner - 1] = False
     end = np.flatnonzero(solid & ~after) + 1
-    # Each different word of the batch is hashed once, by a keyed hash of all its bytes.
     ends = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=ends[1:])
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])]).dictionary_encode()
-    known = np.fromiter((xxhash.xxh3_64_intdigest(w, KEY) for w in words.dictionary.to_pylist()), _U, len(words.dictionary))
-    return known[words.indices.to_numpy()], np.searchsorted(start, offsets).astype(np.int64)
+    return _sums(data[solid], ends), np.searchsorted(start, offsets).astype(np.int64)
+
+
+def inside(offsets: np.ndarray, n: int) -> np.ndarray:
+    """For each word of a batch of texts, whether n words from it on stand in one text."""
+    return np.repeat(offsets[1:], np.diff(offsets)) - np.arange(offsets[-1]) >= n
 
 
 def ngrams(words: np.ndarray, n: int, salt: int = 1) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bundle, drop, stage, unbundle
-from .shingles import digest128, ngrams, raw_texts, runs, word_hashes
+from .shingles import digest128, inside, ngrams, raw_texts, runs, word_hashes
 
 GRAM = 5
 #: Bytes of stretches that one task holds against a block.
@@ -56,18 +56,28 @@ def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.ListArray:
 
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hash, place) of each window of one text's word hashes."""
+    """(anchor, place) of each window of a sequence of word hashes: the least of its n-grams, whose low bits give way to
+    its place in the window."""
     gram = min(GRAM, window)
-    grams = ngrams(words, gram, 3)
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    best, place = grams[:n].copy(), np.zeros(n, np.int64)
+    bits = _U((window - gram).bit_length())
+    grams = ngrams(words, gram, 3) >> bits << bits
+    best = grams[:n].copy()
     for j in range(1, window - gram + 1):
-        less = grams[j : j + n] < best
-        best[less] = grams[j : j + n][less]
-        place[less] = j
-    return best, place + np.arange(n)
+        np.minimum(best, grams[j : j + n] + _U(j), out=best)
+    anchor = best >> bits << bits
+    return anchor, (best - anchor).astype(np.int64) + np.arange(n)
+
+
+def _anchored(column: pa.Array, window: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of a batch of texts: (text, place in it, anchor, place of the anchor among all words, hash)."""
+    words, at = word_hashes(column)
+    anchor, origin = anchors(words, window)
+    ok = np.flatnonzero(inside(at, window)[: len(anchor)])
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[ok]
+    return text, ok - at[text], anchor[ok], origin[ok], ngrams(words, window, 5)[ok]
 
 
 def _profiles(window: int):
@@ -77,13 +87,20 @@ def _profiles(window: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows = batch.slice(i, 512)
-                words, at = word_hashes(rows.column(2))
-                keys = [digest128(b" ".join(x.split())) for x in raw_texts(rows.column(2))]
-                lists = [np.unique(anchors(words[a:b], window)[0]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                split = [x.split() for x in raw_texts(rows.column(2))]
+                keys = [digest128(b" ".join(x)) for x in split]
+                text, _, anchor, origin, _ = _anchored(rows.column(2), window)
+                first = np.r_[True, np.diff(origin) != 0][: len(origin)]
+                text, anchor = text[first], anchor[first]
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+                first = np.r_[True, (np.diff(text) != 0) | (anchor[1:] != anchor[:-1])][: len(text)]
+                offsets = np.r_[0, np.cumsum(np.bincount(text[first], minlength=rows.num_rows))]
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[:2], pa.array(np.diff(at)), *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True)), _lists(lists)],
+                    [*rows.columns[:2], pa.array([len(x) for x in split], pa.int64()), *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True)),
+                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _signed(anchor[first]))],
                     names=["doc_id", "h", "n_words", "k1", "k2", "anchors"],
-                )
+                )
 
     return run
 
@@ -94,28 +111,21 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                rows = batch.slice(i, 128)
-                words, at = word_hashes(rows.column(2))
-                repeated = rows.column(3)
-                who, places, marks, sizes, hashes = [], [], [], [], []
-                for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    mark, origin = anchors(words[a:b], window)
-                    held = np.flatnonzero(np.isin(mark, repeated[r].values.to_numpy(zero_copy_only=False).view(_U)))
-                    if not len(held):
-                        continue
-                    first = np.flatnonzero(np.r_[True, (np.diff(held) != 1) | (np.diff(origin[held]) != 0)])
-                    who.append(np.full(len(first), r))
-                    places.append(held[first])
-                    marks.append(mark[held[first]])
-                    sizes.append(np.diff(np.r_[first, len(held)]))
-                    hashes.append(ngrams(words[a:b], window, 5)[held])
-                if not who:
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                text, place, anchor, origin, hashes = _anchored(rows.column(2), window)
+                at, held = np.searchsorted(text, np.arange(rows.num_rows + 1)), np.zeros(len(text), bool)
+                for r in range(rows.num_rows):
+                    held[at[r] : at[r + 1]] = np.isin(anchor[at[r] : at[r + 1]], rows.column(3)[r].values.to_numpy(zero_copy_only=False).view(_U))
+                held = np.flatnonzero(held)
+                if not len(held):
                     continue
-                who = pa.array(np.concatenate(who))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)), _signed(np.concatenate(hashes)))
+                # Of another text, anchor's place or not next to the one before: a new row.
+                first = np.flatnonzero(np.r_[True, (np.diff(held) != 1) | (np.diff(origin[held]) != 0) | (np.diff(text[held]) != 0)])
+                who, lead = pa.array(text[held[first]]), held[first]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(held)].astype(np.int32)), _signed(hashes[held]))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(who), rows.column(1).take(who), pa.array(np.concatenate(places).astype(np.int32)), _signed(np.concatenate(marks)), lists],
+                    [rows.column(0).take(who), rows.column(1).take(who), pa.array(place[lead].astype(np.int32)), _signed(anchor[lead]), lists],
                     names=["doc_id", "h", "place", "anchor", "hashes"],
                 )
 
