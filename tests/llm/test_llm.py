@@ -29,6 +29,11 @@ def rng_text(rng, n, words=("the", "of", "and", "to", "in", "cat", "dog", "Éte"
     return "".join(rng.choice(words) + rng.choice((" ", " ", " ", "\n", "  ")) for _ in range(n))
 
 
+def thue_morse(n, flip):
+    """Words that a polynomial modulo a power of two can't tell apart."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
 def corpus():
     """Copies, near copies, shared passages, short and empty texts, nulls, repeated rows."""
     rng = random.Random(3)
@@ -182,6 +187,27 @@ def test_near_dedup_needs_blocks(spark, monkeypatch):
     assert 1 < len({c for _, c in want.values()}) < 80
 
 
+def test_near_dedup_several_texts_of_an_id(spark, monkeypatch):
+    """Every text of an id counts: 1 has two, each with a near copy; and a hub's pairs over many tasks."""
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", 1)
+    rng = random.Random(2)
+    a, b = ([f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (4, "z " + " ".join(b)), (9, "other words"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sigmas in (5.0, math.inf):
+        got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 4, sigmas=sigmas).collect()]
+        assert sorted(got) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 1, False), (9, 9, True)]
+
+
+def test_near_dedup_words_not_hashes(spark):
+    rows = [(i, f"{thue_morse(2048, i)} " + " ".join(f"w{k}" for k in range(3))) for i in (0, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1)]
+    same = np.arange(10, dtype=np.uint64)
+    one, two = (near_dedup.FullSet(t, same, 2) for t in (b"a b c d e f g h i j", b"a b c d X f Y h i j"))
+    assert one.links(one, 80) and not one.links(two, 80)
+
+
 def test_sketch_limit():
     rng = np.random.default_rng(2)
     for n in (30, 150, 400, 1500):
@@ -326,11 +352,6 @@ def test_substring_same_id(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 40 + len(b[:60].split()) - (not b[60].isspace())), (3, 40)]
 
 
-def thue_morse(n, flip):
-    """Words that a polynomial modulo a power of two can't tell apart."""
-    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
-
-
 def test_substring_words_not_hashes(spark):
     x, y = thue_morse(2048, 0), thue_morse(2048, 1)
     rest = " ".join(f"w{i}" for i in range(12))
