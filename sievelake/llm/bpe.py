@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding of whole documents.
 
-Texts up to ``chunk_chars`` characters are encoded as they are.  A longer one is cut into
-chunks that overlap; every chunk is pre-tokenised by itself, in parallel, as if a pre-token
-began at its first character.  Where two neighbours agree on a pre-token boundary inside their
-overlap they agree from there on (a match depends only on where it begins and on what
-follows), so the text can be cut at that boundary; the pieces are encoded in parallel and
-their ids concatenated.  Neighbours that never agree (say, one run of letters) are one piece.
+A text of more than ``chunk_chars`` characters is cut into chunks that overlap; every chunk is
+pre-tokenised by itself, as if a pre-token began at its first character.  Where two neighbours
+agree on a pre-token boundary inside their overlap they agree from there on (a match depends only
+on where it begins and on what follows), so the text can be cut at that boundary; the pieces are
+encoded and their ids concatenated.  Neighbours that never agree (say, one run of letters) are one piece.
 Boundaries too near to a chunk's end to see what follows are not trusted, and no cut is made
-behind white space.  Decoding
-concatenates the bytes of the ids.
+behind white space.  Decoding concatenates the bytes of the ids.
+
+The chunks of a text up to ``spread_chars`` characters stay in the task that reads it; those of a
+longer one are dealt to tasks, pre-tokenised there, stitched, and the pieces dealt again to be encoded.
 
 Defined cases: null text is empty and has no ids; texts are encoded whole, special tokens are
 never recognised; repeated rows each give a row, in any order; a null doc_id is kept; an empty
@@ -64,16 +65,49 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(i, rows)
 
 
-def _encode(path: str, pattern: str):
+def overlapping(text: str, chunk_chars: int, overlap: int) -> list[tuple[int, bool, str]]:
+    """(start, whether it reaches the end, characters) of the chunks of a text."""
+    size = chunk_chars + overlap
+    starts = range(0, max(1, len(text) - overlap), chunk_chars)
+    return [(s, s + size >= len(text), text[s : s + size]) for s in starts]
+
+
+def pieces_of(text: str, pattern: str, chunk_chars: int, overlap: int) -> list[str]:
+    """Parts of the text that can be encoded by themselves, by overlapping chunks."""
+    if len(text) <= chunk_chars:
+        return [text]
+    return stitch([(s, part, edges(part, s, last, pattern, overlap)) for s, last, part in overlapping(text, chunk_chars, overlap)], pattern)
+
+
+def _encode(path: str, pattern: str, chunk_chars: int, overlap: int):
+    """The last column, texts, replaced by their ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in small_batches(batches):
-            ids = [np.array(enc.encode_ordinary(x or ""), np.int32) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            ids = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                parts = [enc.encode_ordinary(x) for x in pieces_of(text or "", pattern, chunk_chars, overlap)]
+                ids.append(np.array(parts[0] if len(parts) == 1 else [i for x in parts for i in x], np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], id_lists(ids)], names=[*batch.schema.names[:-1], "ids"])
 
     return run
 
 
+def _chunks(chunk_chars: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            for doc, key, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start, last, part = zip(*overlapping(text, chunk_chars, overlap), strict=True)
+                same = lambda x, t: pa.array([x] * len(start), t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [same(doc, pa.int64()), same(key, pa.string()), same(copies, pa.int64()), pa.array(start, pa.int64()), pa.array(last, pa.bool_()), pa.array(part, pa.string())],
+                    names=["doc_id", "key", "copies", "start", "is_last", "part"],
+                )
+
+    return run
+
+
 def _bounds(pattern: str, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,12 +118,17 @@ def _bounds(pattern: str, overlap: int):
     return run
 
 
-def boundaries(text: str, start: int, last: bool, pattern: str) -> list[int]:
-    """Trusted pre-token boundaries of a chunk that begins at ``start``, as places in the document."""
+@lru_cache(maxsize=4)
+def _compiled(pattern: str):
     import regex
 
+    return regex.compile(pattern)
+
+
+def boundaries(text: str, start: int, last: bool, pattern: str) -> list[int]:
+    """Trusted pre-token boundaries of a chunk that begins at ``start``, as places in the document."""
     end = len(text) if last else len(text) - MARGIN
-    return [start, *(start + e for m in regex.compile(pattern).finditer(text) if (e := m.end()) <= end)]
+    return [start, *(start + e for m in _compiled(pattern).finditer(text) if (e := m.end()) <= end)]
 
 
 def edges(text: str, start: int, last: bool, pattern: str, overlap: int) -> list[int]:
@@ -100,16 +139,21 @@ def edges(text: str, start: int, last: bool, pattern: str, overlap: int) -> list
 def stitch(chunks: list[tuple[int, str, list[int]]], pattern: str) -> list[str]:
     """Pieces of the text whose (start, part, bounds) are given in order; every cut is a true pre-token boundary."""
     text = "".join(part[: nxt - start] for (start, part, _), nxt in zip(chunks, [*(c[0] for c in chunks[1:]), 1 << 62], strict=True))
-    begin, cuts, own = 0, [0], set(chunks[0][2])
+    cuts, own = [0], set(chunks[0][2])
+    # From the last boundary that is known to be true, ``known``, the text is scanned again only when twice as much is at hand.
+    known, scanned = max(own), len(chunks[0][1])
     for k, (start, part, bounds) in enumerate(chunks[1:], 1):
         # Not behind white space: how a run of it is split depends on what follows the cut.
-        agreed = [p for p in bounds if p in own and p > begin and not text[p - 1].isspace()]
+        agreed = [p for p in bounds if p in own and p > cuts[-1] and not text[p - 1].isspace()]
+        reach = start + len(part)
         if agreed:
-            begin = min(agreed)
-            cuts.append(begin)
-            own = set(bounds)
-        else:  # go on from the last cut as far as this chunk reaches
-            own = set(boundaries(text[begin : start + len(part)], begin, k == len(chunks) - 1, pattern))
+            cuts.append(min(agreed))
+            own, known, scanned = set(bounds), max(bounds), len(part)
+        elif reach - known >= 2 * scanned and k < len(chunks) - 1:
+            own, scanned = set(boundaries(text[known:reach], known, False, pattern)), reach - known
+            known = max(own)
+        else:
+            own = set()
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
@@ -129,33 +173,26 @@ def encode(
     docs: DataFrame,
     path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
-    chunk_chars: int = 1 << 16,
-    overlap: int = 1 << 10,
+    chunk_chars: int = 1 << 12,
+    overlap: int = 1 << 8,
+    spread_chars: int = 1 << 16,
 ) -> DataFrame:
     """(doc_id, ids array<int>) of every document, by the ranks in ``path``."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = docs.where(F.length("text") <= chunk_chars).mapInArrow(_encode(path, pattern), "doc_id long, ids array<int>")
+    encoded = _encode(path, pattern, chunk_chars, overlap)
+    near = docs.where(F.length("text") <= spread_chars).mapInArrow(encoded, "doc_id long, ids array<int>")
     # Few documents are longer; a row of its own for each different one, so that repeated rows don't mix.
-    long = docs.where(F.length("text") > chunk_chars).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    size = F.length("text")
-    starts = F.sequence(F.lit(0), size - 1, F.lit(chunk_chars))
-    chunks = long.select(
-        "doc_id", F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.reverse("text"))).alias("key"), "copies",
-        F.inline(F.transform(starts, lambda s: F.struct(
-            s.cast("long").alias("start"),
-            (s + chunk_chars + overlap >= size).alias("is_last"),
-            F.substring(F.col("text"), s + 1, F.lit(chunk_chars + overlap)).alias("part"),
-        ))),
-    )
-    # A chunk behind one that reaches the end adds nothing.
-    chunks = chunks.where("start = 0 or not is_last or part > ''").repartition("doc_id", "key", "start")
+    long = docs.where(F.length("text") > spread_chars).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    keyed = long.select("doc_id", F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.reverse("text"))).alias("key"), "copies", "text")
+    chunks = keyed.mapInArrow(_chunks(spread_chars, overlap), "doc_id long, key string, copies long, start long, is_last boolean, part string")
+    chunks = chunks.repartition("doc_id", "key", "start")
     bounds = chunks.mapInArrow(_bounds(pattern, overlap), "doc_id long, key string, copies long, start long, is_last boolean, part string, bounds array<long>")
     pieces = bounds.groupBy("doc_id", "key").applyInPandas(_pieces(pattern), "doc_id long, key string, copies long, piece long, part string")
-    pieces = pieces.repartition("doc_id", "key", "piece").mapInArrow(_encode(path, pattern), "doc_id long, key string, copies long, piece long, ids array<int>")
+    pieces = pieces.repartition("doc_id", "key", "piece").mapInArrow(encoded, "doc_id long, key string, copies long, piece long, ids array<int>")
     joined = pieces.groupBy("doc_id", "key", "copies").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x.ids)).alias("ids"))
     joined = joined.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
-    return whole.unionByName(joined)
+    return near.unionByName(joined)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
