@@ -11,15 +11,18 @@ To the driver go a row per length and partition boundary.
 
 Defined cases: null text is empty and has only its end token; a longer document is cut so that
 its first piece takes the remainder; ties in length are broken by (doc_id, piece), repeated
-rows get places of their own; a null doc_id sorts first; an empty table gives no rows; extra
+rows get places of their own; the string of an added token in a text is that token, as in the
+tokenizers library with add_special_tokens=False; a null doc_id sorts first; an empty table gives no rows; extra
 columns of documents are not returned, those of pieces pass through ``pack``.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,28 +41,65 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and end token, cut.
-    ``path`` is a rank file of the vocabulary."""
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+class Tokens:
+    """Ids of texts under a byte-level vocabulary as its tokenizer gives them: by the rank file of the same vocabulary, but
+    for texts that hold the string of an added token, which go through the tokenizer itself."""
+
+    def __init__(self, tokenizer: str, ranks: str) -> None:
+        with open(tokenizer, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.tokenizer, self.path, self.ranks = None, tokenizer, encoding(ranks, public_tokenizers.PATTERN)
+
+    def __call__(self, text: str) -> list[int]:
+        if any(x in text for x in self.added):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(text)
+
+
+@lru_cache(maxsize=2)
+def tokens(tokenizer: str, ranks: str) -> Tokens:
+    return Tokens(tokenizer, ranks)
+
+
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids): every document's ids and end token, cut.  ``ranks`` is the rank file of
+    the vocabulary in ``tokenizer``."""
+    tokenizer, ranks = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path, public_tokenizers.PATTERN)
+        encode = tokens(tokenizer, ranks)
         for batch in small_batches(batches):
             rows, parts = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), end_id], "<u4")
+                ids = np.array([*encode(text or ""), end_id], np.int32)
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
-                    part = ids[start : start + length]
-                    rows.append((doc, piece, start, length, zlib.crc32(part.tobytes())))
-                    parts.append(part)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    rows.append((doc, piece, start, length))
+                    parts.append(ids[start : start + length])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns + [id_lists(parts)] * with_ids, names=names)
+            yield pa.RecordBatch.from_arrays([*columns, id_lists(parts)], names=["doc_id", "piece", "start", "length", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>")
+
+
+def checksums(packed: DataFrame, keep_ids: bool = True) -> DataFrame:
+    """``packed`` with ``ids_crc32`` of the ids that stand in it."""
+    names = [c for c in packed.columns if c != "ids_crc32"]
+    at, kept = names.index("ids"), [c for c in names if keep_ids or c != "ids"]
+    schema = T.StructType([*(packed.schema[c] for c in kept), T.StructField("ids_crc32", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sums, pa.int64())], names=[*kept, "ids_crc32"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return packed.select(*names).mapInArrow(run, schema)
 
 
 def plan(counts: np.ndarray, capacity: int) -> tuple[int, dict[int, np.ndarray]]:
