@@ -12,11 +12,13 @@ A key is the doc_id as 8 big-endian bytes with the sign bit turned, so bytes sor
 null doc_id has the empty key and sorts first.  A value is a byte of width (2 or 4) and the
 little-endian ids.  A lookup asks the filter, searches the index by halves, and reads one block.
 
-A file is written under a temporary name and renamed, so a task that runs again writes the
-same bytes to the same place.  Files go to the folder given, by default one below
-``spark.checkpoint.dir``, through the filesystem of its URI.
+Every attempt of a task writes a file of its own, under a name no other has; the manifest, written
+when all are done, says which count, so a task can run again at any time and nothing is renamed.
+Files go to the folder given, by default one below ``spark.checkpoint.dir``, through the
+filesystem of its URI.  There are as many as the texts need at ``shard_bytes`` each.
 
-Defined cases: null text is empty and has only its end token; rows with one doc_id stay
+Defined cases: null text is empty and has only its end token; the string of an added token in a
+text is that token, as in the tokenizers library with add_special_tokens=False; rows with one doc_id stay
 neighbours, sorted by a hash of their text, and a lookup returns the first; an empty table
 writes shards without entries and reads back no rows; columns other than doc_id and text are
 not stored.
@@ -25,7 +27,9 @@ not stored.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -43,6 +47,8 @@ from .common import new_path, stage
 MAGIC = b"SLSSTB01"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 1 << 15, 10, 7
+#: Bytes of text for one file.
+SHARD_BYTES = 1 << 25
 #: Words that a worker remembers in each of two generations: a bound on memory that no result depends on.
 MEMO_WORDS = 3 << 18
 
@@ -74,10 +80,10 @@ def read_varint(buf: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def probes(key: bytes, n_bits: int, hashes: int = HASHES) -> list[int]:
-    h = xxhash.xxh64_intdigest(key)
-    a, b = h & 0xFFFFFFFF, h >> 32 | 1
-    return [(a + i * b) % n_bits for i in range(hashes)]
+def probes(hashed: np.ndarray, n_bits: int, hashes: int = HASHES) -> np.ndarray:
+    """Places of the bits, a row for each hashed key."""
+    a, b = hashed & np.uint64(0xFFFFFFFF), hashed >> np.uint64(32) | np.uint64(1)
+    return (a[:, None] + np.arange(hashes, dtype=np.uint64) * b[:, None]) % np.uint64(n_bits)
 
 
 class Writer:
@@ -85,7 +91,8 @@ class Writer:
 
     def __init__(self, sink) -> None:
         self.sink, self.at = sink, 0
-        self.block, self.last, self.keys, self.index = bytearray(), b"", [], []
+        self.block, self.last, self.index = bytearray(), b"", []
+        self.hashed = array("Q")
         self.n_ids = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
@@ -99,7 +106,7 @@ class Writer:
                 shared += 1
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.last = key
-        self.keys.append(key)
+        self.hashed.append(xxhash.xxh64_intdigest(key))
         self.n_ids += len(ids)
 
     def _flush(self) -> None:
@@ -117,13 +124,12 @@ class Writer:
         index_at = self.at
         self._write(b"".join(varint(len(k)) + k + varint(o) + varint(n) for k, o, n in self.index))
         bloom_at = self.at
-        n_bits = max(64, len(self.keys) * BITS_PER_KEY)
-        bits = np.zeros(-(-n_bits // 8), np.uint8)
-        for key in self.keys:
-            for p in probes(key, n_bits):
-                bits[p >> 3] |= 1 << (p & 7)
-        self._write(bytes([HASHES]) + struct.pack("<Q", n_bits) + bits.tobytes())
-        self._write(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, self.at - bloom_at, len(self.keys), self.n_ids, MAGIC))
+        n_bits = max(64, len(self.hashed) * BITS_PER_KEY)
+        bits, hashed = np.zeros(n_bits, bool), np.frombuffer(self.hashed, np.uint64)
+        for i in range(0, len(hashed), 1 << 16):
+            bits[probes(hashed[i : i + (1 << 16)], n_bits).ravel()] = True
+        self._write(bytes([HASHES]) + struct.pack("<Q", n_bits) + np.packbits(bits, bitorder="little").tobytes())
+        self._write(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, self.at - bloom_at, len(self.hashed), self.n_ids, MAGIC))
 
 
 class Reader:
@@ -149,7 +155,8 @@ class Reader:
 
     def may_hold(self, key: bytes) -> bool:
         n_bits, bits = struct.unpack_from("<Q", self.bloom, 1)[0], memoryview(self.bloom)[9:]
-        return all(bits[p >> 3] >> (p & 7) & 1 for p in probes(key, n_bits, self.bloom[0]))
+        at = probes(np.array([xxhash.xxh64_intdigest(key)], np.uint64), n_bits, self.bloom[0])[0].tolist()
+        return all(bits[p >> 3] >> (p & 7) & 1 for p in at)
 
     def block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, offset, length = self.index[i]
@@ -194,7 +201,8 @@ class WordEncoder:
 
     Words used of late are kept: the older generation goes when the younger is full.  Plain words are
     merged by a rank table made from the tokenizer's vocabulary, in which byte 1 stands for the end of
-    a word; other words, and all if the ids don't follow the merges, go through the tokenizer."""
+    a word; other words, and all if the ids don't follow the merges, go through the tokenizer, and so do
+    whole texts that hold the string of an added token."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -204,11 +212,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, self.added = whole["model"], [t["content"] for t in whole["added_tokens"]]
         vocab, end, symbols = model["vocab"], model["end_of_word_suffix"], byte_symbols()
         merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         raw = lambda t: bytes(symbols[c] for c in t.removesuffix(end)) + (b"\x01" if t.endswith(end) else b"")
@@ -246,7 +254,8 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # ASCII letters and white space only; others stay for the tokenizer, which lower-cases as well.
-        split = [t.encode().lower().split() for t in texts]
+        added = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        split = [[] if i in added else t.encode().lower().split() for i, t in enumerate(texts)]
         if len(self.young) > MEMO_WORDS:
             self.young, self.old = {}, self.young
         missing = set().union(*split).difference(self.young)
@@ -254,7 +263,7 @@ class WordEncoder:
         self.young.update((w, self.old[w]) for w in known)
         self._learn(list(missing - known))
         ids = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(ids, words)), "<u4") for words in split]
+        return [added[i] if i in added else np.frombuffer(b"".join(map(ids, words)), "<u4") for i, words in enumerate(split)]
 
 
 @lru_cache(maxsize=2)
@@ -283,12 +292,15 @@ def write_shards(
     end_id: int = 2,
     folder: str | None = None,
     n_shards: int | None = None,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Encode and write ``docs``; the manifest (shard, file, n_docs, n_ids), a row per file."""
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = encode or (lambda texts: encode_words(texts, path))
     folder = folder or new_path(spark, "shards")
-    n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not n_shards:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        n_shards = max(1, -(-size // shard_bytes))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     docs = docs.repartitionByRange(n_shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
@@ -299,17 +311,15 @@ def write_shards(
         shard = context.partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"{base}/shard-{shard:06d}.sst"
-        draft = f"{base}/.draft-{shard:06d}-{context.taskAttemptId()}"
-        with store.open_output_stream(draft) as sink:
+        name = f"{base}/shard-{shard:06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
+        with store.open_output_stream(name) as sink:
             writer = Writer(sink)
             for batch in batches:
                 for rows in by_bytes(batch, 4 << 20):
                     for doc, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist()), strict=True):
                         writer.add(encode_key(doc), np.append(ids, np.uint32(end_id)))
             writer.close()
-        store.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.hashed)], "n_ids": [writer.n_ids]})
 
     return stage(docs.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "manifest")
 
