@@ -8,8 +8,8 @@ without trainable text (``target_turn`` null) that holds all of its turns.
 Template of a turn: ``<|turn:ROLE|>TEXT<|end|>``.  In roles and texts ``\\`` is written ``\\s``
 and ``|`` is written ``\\p``, so no mark can occur inside them and both are got back exactly.
 
-Defined cases: null text or role is empty; null ``conv_id`` is one conversation of its own;
-turns sort by (turn, role, text), nulls first, repeated rows all stay; an empty table gives no
+Defined cases: null text or role is empty; each row with a null ``conv_id`` is a
+conversation of its own, so such rows never meet in one task; turns sort by (turn, role, text), nulls first, repeated rows all stay; an empty table gives no
 rows; other columns are ignored.  The context is repeated in each example (that is the
 format), so output grows with the square of a conversation's turns, never across conversations.
 """
@@ -42,7 +42,8 @@ def format_chat(turns: DataFrame, trainable_role: str = "assistant") -> DataFram
         ).alias("t"),
     )
     # An array sorts by its structs' fields in order, nulls first.
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    conv = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    conv = conv.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     conv = let(
         conv,
         parts=F.transform(
@@ -94,16 +95,15 @@ def read_back(examples: DataFrame) -> DataFrame:
         F.col("loss_start").isNotNull(),
         unescape(F.substring(F.col("text"), F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))),
     )
-    conv = (
-        examples.select("conv_id", "example", "text", loss.alias("loss"))
-        .groupBy("conv_id")
-        .agg(
-            F.max_by("text", "example").alias("whole"),
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: F.coalesce(x.loss, F.lit(""))), "").alias("trained"),
-            F.sum(F.length("text")).alias("formatted_chars"),
-            F.count(F.lit(1)).alias("n_examples"),
-        )
+    read = examples.select("conv_id", "example", "text", F.coalesce(loss, F.lit("")).alias("loss"))
+    conv = read.where("conv_id is not null").groupBy("conv_id").agg(
+        F.max_by("text", "example").alias("whole"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x.loss), "").alias("trained"),
+        F.sum(F.length("text")).alias("formatted_chars"),
+        F.count(F.lit(1)).alias("n_examples"),
     )
+    alone = read.where("conv_id is null")  # conversations of one turn, so of one example
+    conv = conv.unionByName(alone.select("conv_id", F.col("text").alias("whole"), F.col("loss").alias("trained"), F.length("text").cast("long").alias("formatted_chars"), F.lit(1).cast("long").alias("n_examples")))
     conv = let(conv, turns=parse_chat(F.col("whole")))
     return conv.select(
         "conv_id",

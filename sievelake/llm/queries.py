@@ -22,7 +22,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False))
+    packed = packing.pack(packing.token_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return packing.checksums(packed, keep_ids=False)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
 
 

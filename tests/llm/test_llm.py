@@ -52,6 +52,8 @@ def corpus():
 
 
 ROWS = corpus()
+#: Strings of added tokens, whole, in a text, cut and in capitals.
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "A<|startoftext|>B <|endoftext|><|endoftext|>", "<|endof text|>", "<|ENDOFTEXT|> x"]
 
 
 @pytest.fixture(scope="session")
@@ -109,29 +111,43 @@ def test_line_dedup_same_id(spark):
 # 2 -----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("size", [(1 << 16, 1 << 10), (40, 12), (7, 5)])
+@pytest.mark.parametrize("size", [(1 << 12, 1 << 8, 1 << 16), (40, 12, 200), (7, 5, 60)])
 def test_bpe_round_trip(docs, empty, size):
     enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    got = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(docs, chunk_chars=size[0], overlap=size[1])).collect()}
+    got = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(docs, chunk_chars=size[0], overlap=size[1], spread_chars=size[2])).collect()}
     assert got == {i: (enc.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in ROWS}
     assert bpe.digest(bpe.decode(bpe.encode(empty))).count() == 0
 
 
 def test_bpe_repeated_long_rows(spark):
     df = spark.createDataFrame([(1, "ab " * 100), (1, "ab " * 100), (1, "cd " * 100), (None, "e" * 300)], "doc_id long, text string")
-    got = bpe.decode(bpe.encode(df, chunk_chars=50, overlap=10)).collect()
+    got = bpe.decode(bpe.encode(df, chunk_chars=20, overlap=10, spread_chars=50)).collect()
     assert sorted(bytes(r.decoded).decode() for r in got) == sorted(["ab " * 100] * 2 + ["cd " * 100, "e" * 300])
 
 
+def test_bpe_method_is_used():
+    """By the defaults over two fifths of the characters come through overlapping chunks, in several pieces; a run of
+    letters without a boundary takes no more than a few scans of it."""
+    import time
+
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{DATA.replace('0.001', '0.01')}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    several = [t for t in texts if len(bpe.pieces_of(t, public_tokenizers.PATTERN, 1 << 12, 1 << 8)) > 1]
+    assert sum(map(len, several)) > 0.4 * sum(map(len, texts))
+    began = time.process_time()
+    for text in ("x" * 5_000_000, "ab " * 1_700_000, " " * 5_000_000):
+        assert "".join(bpe.pieces_of(text, public_tokenizers.PATTERN, 1 << 12, 1 << 8)) == text
+    assert time.process_time() - began < 60
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab é1'st\n\t  .!½日", max_size=120), st.integers(5, 30), st.integers(5, 20))
 def test_stitching(text, size, overlap):
     pattern = public_tokenizers.PATTERN
     import regex
 
-    starts = range(0, max(1, len(text)), size)
-    parts = [(s, text[s : s + size + overlap], s + size + overlap >= len(text)) for s in starts]
-    pieces = bpe.stitch([(s, t, bpe.edges(t, s, last, pattern, overlap)) for s, t, last in parts], pattern)
+    pieces = bpe.pieces_of(text, pattern, size, overlap)
     assert "".join(pieces) == text
     tokens = lambda t: [m.group() for m in regex.finditer(pattern, t)]
     assert [x for p in pieces for x in tokens(p)] == tokens(text)
@@ -277,15 +293,15 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    want = {}
-    for i, text, *_ in ROWS:
+    want, rows = {}, [*ROWS, *((10_000 + i, x, "en", "s", 0) for i, x in enumerate(SPECIAL))]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(rows[len(ROWS) :], SCHEMA), allowMissingColumns=True)
+    for i, text, *_ in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
         first = len(ids) % 128 or 128
         for k, s in enumerate([0, *range(first, len(ids), 128)]):
             part = ids[s : first if k == 0 else s + 128]
             want[i, k] = (s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), part)
-    rows = packing.pack(packing.token_pieces(docs, capacity=128), 128).collect()
+    rows = packing.checksums(packing.pack(packing.token_pieces(docs, capacity=128), 128)).collect()
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32, list(r.ids)) for r in rows} == want
     assert check_packed(rows, 128) <= first_fit([r.length for r in rows], 128)
     assert packing.pack(packing.token_pieces(empty)).count() == 0
@@ -543,13 +559,16 @@ def test_partition_balance():
 
 def test_chat(spark):
     said = "a|b\\s <|end|> \\p </s>[INST]"
-    rows = [(1, 0, "system", "s"), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "ü😀"), (2, 0, "user", "only"), (3, 1, "assistant", "z"), (3, 0, "assistant", "y"), (3, 2, "user", "tail"), (None, 0, "|x>", "q"), (4, 0, None, "r"), (4, 0, None, "r")]
+    rows = [(1, 0, "system", "s"), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "ü😀"), (2, 0, "user", "only"), (3, 1, "assistant", "z"), (3, 0, "assistant", "y"), (3, 2, "user", "tail"), (None, 0, "|x>", "q"), (None, 0, "assistant", "q"), (None, 0, "assistant", "q"), (4, 0, None, "r"), (4, 0, None, "r")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit(1))
     examples = chat.format_chat(df)
     got = {r.conv_id: r for r in chat.read_back(examples).collect()}
     conv = {}
     for c, t, role, text in rows:
-        conv.setdefault(c, []).append((t, role or "", text or ""))
+        if c is not None:
+            conv.setdefault(c, []).append((t, role or "", text or ""))
+    alone = [(r.n_turns, r.turns_sha256, r.loss_chars, r.n_examples) for r in chat.read_back(examples).where("conv_id is null").collect()]
+    assert sorted(alone) == sorted([(1, sha(b"|x>\nq\n"), 0, 1)] + [(1, sha(b"assistant\nq\n"), 1, 1)] * 2)
     for c, turns in conv.items():
         turns.sort()
         trained = "".join(x for _, r, x in turns if r == "assistant")
@@ -611,11 +630,13 @@ def test_shards(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    manifest = sstable.write_shards(spark, docs, folder=f"file://{tmp_path}/s", n_shards=5)
+    rows = [*ROWS, *((10_000 + i, x, "en", "s", 0) for i, x in enumerate(SPECIAL))]
+    docs = docs.unionByName(spark.createDataFrame(rows[len(ROWS) :], SCHEMA), allowMissingColumns=True)
+    manifest = sstable.write_shards(spark, docs, folder=f"file://{tmp_path}/s", shard_bytes=5000)
+    assert 3 <= manifest.count() <= 12
     got = sstable.read_shards(spark, manifest, f"file://{tmp_path}").orderBy("start").collect()
     at, want = 0, {}
-    for r, (i, text, *_) in zip(got, ROWS, strict=True):
+    for r, (i, text, *_) in zip(got, rows, strict=True):
         want[i] = t.encode(text or "", add_special_tokens=False).ids + [2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, list(r.ids)) == (i, at, len(want[i]), zlib.crc32(np.array(want[i], "<u4").tobytes()), want[i])
         at += len(want[i])
@@ -623,7 +644,7 @@ def test_shards(spark, docs, empty, tmp_path):
     readers = [sstable.Reader(f) for f in files]
     for i, *_ in ROWS:
         assert [list(x) for r in readers if (x := r.get(i)) is not None] == [want[i]]
-    assert all(r.get(10**9) is None for r in readers) and not list(tmp_path.glob("s/.draft*"))
+    assert all(r.get(10**9) is None for r in readers)
     none = sstable.write_shards(spark, empty, folder=f"file://{tmp_path}/e", n_shards=2)
     assert sstable.read_shards(spark, none, f"file://{tmp_path}").count() == 0
 
@@ -652,7 +673,7 @@ def test_word_encoder_equals_tokenizer():
     enc = sstable.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     assert enc.plain is not None
     rng = random.Random(9)
-    texts = ["", " ", "İSTANBUL ΣΑΣ ß ﬁ", "\x1c a\x1cb \x01 \x02x", "don't I'LL <|endoftext|> </w>", "😀👍🏽 日本", "a\x85b\xa0c", "z ́a"]
+    texts = [*SPECIAL, "", " ", "İSTANBUL ΣΑΣ ß ﬁ", "\x1c a\x1cb \x01 \x02x", "don't I'LL <|endoftext|> </w>", "😀👍🏽 日本", "a\x85b\xa0c", "z ́a"]
     texts += ["".join(rng.choice("aéÉ \n\t'sSß1２İ😀|<>.-ñThe") for _ in range(rng.randint(0, 40))) for _ in range(800)]
     assert [list(x) for x in enc(texts)] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -701,8 +722,10 @@ def test_pipeline(spark):
     assert {i: sha(" ".join(WORD.findall(t)).encode()) for i, t in kept["substring_dedup"].items()} == {i: x[2] for i, x in subs.items()}
     rows = p.run(spark, DATA).collect()
     check_packed(rows, 2048)
-    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    from tokenizers import Tokenizer
+
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
         ids.setdefault(r.doc_id, []).extend(r.ids)
-    assert ids == {i: [*enc.encode_ordinary(t), 0] for i, t in kept["substring_dedup"].items()}
+    assert ids == {i: [*enc.encode(t, add_special_tokens=False).ids, 0] for i, t in kept["substring_dedup"].items()}
