@@ -1,21 +1,26 @@
 """Approximate nearest neighbours over learned partitions.
 
-Fit, on a bounded sample (``sample`` rows with the lowest hash of their id): the sample's
+Fit, on a bounded sample (rows with the lowest hash of their id): the sample's
 neighbour graph is cut into balanced parts (recursive spectral bisection, then moves that win
 neighbours and keep the balance), and a small network with one hidden layer learns to tell a
 vector's part.  How many parts a query visits is the least number that finds ``target`` of
 the true neighbours of held-out sample queries.
 
+There is a part for each ``per_part`` rows, 4 at least.  The sample grows with the parts, from ``sample``
+to ``most_sample`` rows, and has 32 rows for each part: beyond ``most_sample`` / 32 parts (1.6 million rows by
+default) parts grow instead of getting more.  Under ``FEWEST`` different vectors nothing can be learnt and all is one part.
+
 Search: every row of the table is indexed under its most probable part, every query goes to its
 most probable few.  A part is split by hash into blocks of about ``block`` rows, so neither a large
 part nor one vector that a third of all rows share lands in one task.  A query's k-th best among
 the sample's rows in the parts that it visits is a bound that its result cannot fall below; a
-block gives its k best as far as they reach the bound, and the best of those are the result.  Scores are inner products of the original
-vectors in double precision, the same for equal vectors wherever they stand.
+block gives its k best as far as they reach the bound, and the best of those are the result.  A query
+whose parts hold fewer than k candidates is asked again in all parts.  Scores are inner products of the
+original vectors in double precision, the same for equal vectors wherever they stand.
 
 Defined cases: null, empty or zero vectors, vectors that hold null or non-finite components, and those
 of another length than most of the sample take no part; rows that share the query's id are its
-own; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+own; ties go to the smaller id; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
+
+#: Different vectors that a partition can be learnt from.
+FEWEST = 48
+
 
 @dataclass
 class Router:
@@ -148,10 +159,12 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(real, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def fit(rows: DataFrame, sample: int = 8192, per_part: int = 1600, target: float = 0.94, k: int = 20) -> Router:
-    """``rows`` (vec_id, v) hold usable vectors.  At most ``sample`` of them come to the driver."""
+def fit(rows: DataFrame, sample: int = 8192, most_sample: int = 32768, per_part: int = 1600, target: float = 0.94, k: int = 20) -> Router:
+    """``rows`` (vec_id, v) hold usable vectors.  At most ``most_sample`` of them come to the driver."""
     total = rows.count()
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").collect()
+    wanted = 1 << max(2, round(np.log2(max(1, total / per_part))))
+    size = min(max(sample, 32 * wanted), most_sample)
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("vec_id", "v").collect()
     if not got:
         return Router(0, 1, 1, ())
     lengths = np.array([len(r.v) for r in got])
@@ -159,12 +172,12 @@ def fit(rows: DataFrame, sample: int = 8192, per_part: int = 1600, target: float
     ids = np.array([r.vec_id for r in got if len(r.v) == dim])
     x, first = np.unique(np.array([r.v for r in got if len(r.v) == dim], np.float64), axis=0, return_index=True)
     ids = ids[first]
-    parts = 1 << max(0, min(8, round(np.log2(max(1, total / per_part)))))
-    if len(x) < max(512, 16 * parts) or parts == 1:
+    if len(x) < FEWEST:
         return Router(dim, 1, 1, (), ids, x)
+    parts = min(wanted, max(4, 1 << int(np.log2(len(x) / 32))))
     order = np.random.default_rng(3).permutation(len(x))
     ids, x = ids[order], x[order]
-    held = x[: len(x) // 8]
+    held = x[: max(8, len(x) // 8)]
     part = partition_graph(neighbour_graph(x, 10), parts)
     router = Router(dim, parts, parts, train(x[len(held) :], part[len(held) :], parts), ids, x)
     near = neighbour_graph(x, min(k, len(x) - 1))[: len(held)]
@@ -246,15 +259,29 @@ def search(rows: DataFrame, queries: Column, k: int = 20, router: Router | None
     rows = rows.where(F.size("v") == router.dim)
     kind = f"array<{dict(rows.dtypes)['v'][6:-1]}>"
     route = lambda df, n, k: df.mapInArrow(_route(router, n, k), f"vec_id long, v {kind}, parts array<int>, bound double")
-    index = route(rows, 1, 0).select("vec_id", "v", "bound", F.get("parts", F.lit(0)).alias("part"))
+    index = stage(route(rows, 1, 0).select("vec_id", "v", "bound", F.get("parts", F.lit(0)).alias("part")), "vector-index")
     sizes = index.groupBy("part").count().collect()  # a row per part
     blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["part"], -(-r["count"] // block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(blocks, "part")).cast("int"))
-    asked = route(rows.where(queries).distinct(), router.visits, k).select("vec_id", "v", "bound", F.explode("parts").alias("part"))
-    asked = asked.withColumn("n", F.try_element_at(blocks, "part")).where("n is not null").select("vec_id", "v", "bound", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    both = index.withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1)))
-    order = ["part", "block", "side"]
-    found = both.select(*order, "vec_id", "v", "bound").repartition("part", "block").sortWithinPartitions(*order).mapInArrow(_rerank(k), "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    asked = rows.where(queries).distinct()
+
+    def found(asked: DataFrame, visits: int) -> DataFrame:
+        """The best k of every block for (query_id, score, vec_id), over the parts visited."""
+        to = route(asked, visits, k).select("vec_id", "v", "bound", F.explode("parts").alias("part")).withColumn("n", F.try_element_at(blocks, "part"))
+        to = to.where("n is not null").select("vec_id", "v", "bound", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+        both = index.withColumn("side", F.lit(0)).unionByName(to.withColumn("side", F.lit(1)))
+        order = ["part", "block", "side"]
+        dealt = both.select(*order, "vec_id", "v", "bound").repartition("part", "block").sortWithinPartitions(*order)
+        best = dealt.mapInArrow(_rerank(k), "query_id long, vec_id long, score double")
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = found(asked, router.visits)
+    if router.visits < router.parts:
+        near = stage(near, "neighbours")
+        counted = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        few = asked.join(counted, asked.vec_id == counted.query_id, "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v")
+        few = stage(few, "queries-with-few")
+        if not few.isEmpty():
+            near = near.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(found(few, router.parts))
+    return near

@@ -537,16 +537,34 @@ def test_ann_recall_with_parts(spark):
     assert sum(len({i for i, _ in nearest(x, ids, q)} & got[q]) for q in asked) >= 0.9 * 20 * len(asked)
 
 
-def test_ann_recall_on_table(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_ann_recall_on_table(spark, sf):
+    """The registered query, whose table has several parts at every size."""
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    v = rows.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & ann.valid(F.col("v")))
+    assert ann.fit(v, k=20).parts >= 4
     got = {}
-    for r in ann.search(rows, F.col("vec_id") % 20 == 0).collect():
+    for r in QUERIES["op7_learned_partitions"](spark, f"/root/testdata/sf{sf}").collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    data = rows.select("vec_id", "embedding").orderBy("vec_id").toPandas()
-    x, ids = np.stack(data.embedding).astype(float), data.vec_id.to_numpy()
+    data = v.orderBy("vec_id").toPandas()
+    x, ids = np.stack(data.v).astype(float), data.vec_id.to_numpy()
+    assert sorted(got) == [i for i in ids if i % 20 == 0]
     assert sum(len({i for i, _ in nearest(x, ids, q)} & got[q]) for q in got) >= 0.9 * 20 * len(got)
 
 
+def test_ann_refills(spark):
+    """Parts visited hold one candidate: the rest comes from the others.  Clashing columns and an empty table."""
+    x = np.eye(8, dtype=np.float32)[np.arange(80) % 8] + 0.01 * np.random.default_rng(1).standard_normal((80, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "part", "block", "side", "bound", "rank", "score", "query_id")})
+    w1, w2 = np.eye(8), np.eye(8) * 10
+    router = ann.Router(8, 8, 1, (w1, np.zeros(8), w2, np.zeros(8)), np.zeros(0, np.int64), np.zeros((0, 8)))
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, router=router).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in nearest(x.astype(np.float64), np.arange(80), q)] for q in range(0, 80, 20)}
+    assert ann.search(df.limit(0), F.lit(True)).count() == 0
+
+
 def test_partition_balance():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1200, 8))
