@@ -633,6 +633,19 @@ def test_lm_scores(docs, empty, order):
                     backed += k == top
         assert (got[i].n_words, got[i].n_backoff) == (len(w), backed) and abs(got[i].log_score - score) < 1e-6 * max(1, abs(score))
     assert lm_score.lm_scores(empty).count() == 0
+    if order == 3:
+        for r in lm_score.relational_scores(docs, order).collect():
+            assert (r.n_words, r.n_backoff) == (got[r.doc_id].n_words, got[r.doc_id].n_backoff) and abs(r.log_score - got[r.doc_id].log_score) < 1e-6 * max(1, abs(r.log_score))
+        assert lm_score.relational_scores(empty).count() == 0
+
+
+def test_lm_repeated_rows(spark):
+    """Repeated rows are evidence for each other, whatever their id; they come in blocks of their own size."""
+    rows = [(7, "a b c d")] * 40 + [(None, "a b c d"), (None, None), (8, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("block", "n_words", "texts")})
+    got = lm_score.lm_scores(df, block_bytes=20).collect()
+    assert len(got) == 43 and len({round(r.log_score, 9) for r in got if r.n_words == 4}) == 1
+    assert all(r.n_backoff == (2 if r.doc_id == 8 else 0) for r in got) and abs(next(r.log_score for r in got if r.n_words == 4) - math.log(40 / 167)) < 1e-9
 
 
 @given(st.lists(st.integers(0, 2**64 - 1)))
