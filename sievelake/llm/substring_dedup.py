@@ -41,7 +41,7 @@ from .shingles import digest128, inside, ngrams, raw_texts, runs, word_hashes
 
 GRAM = 5
 #: Bytes of stretches that one task holds against a block.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 1 << 20
 _U = np.uint64
 
 
