@@ -41,6 +41,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
+def to_planes(ids: np.ndarray) -> bytes:
+    """Ids as bytes: the lowest byte of each, then the next of each, and so on; the high ones compress to nothing."""
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class Tokens:
     """Ids of texts under a byte-level vocabulary as its tokenizer gives them: by the rank file of the same vocabulary, but
     for texts that hold the string of an added token, which go through the tokenizer itself."""
@@ -66,8 +75,8 @@ def tokens(tokenizer: str, ranks: str) -> Tokens:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids): every document's ids and end token, cut.  ``ranks`` is the rank file of
-    the vocabulary in ``tokenizer``."""
+    """(doc_id, piece, start, length, ids): every document's ids and end token, cut; ``ids`` as ``to_planes`` writes
+    them, which ``unpack_ids`` turns into numbers.  ``ranks`` is the rank file of the vocabulary in ``tokenizer``."""
     tokenizer, ranks = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,26 +87,25 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | Non
                 ids = np.array([*encode(text or ""), end_id], np.int32)
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc, piece, start, length))
-                    parts.append(ids[start : start + length])
+                    parts.append(to_planes(ids[start : start + length]))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, id_lists(parts)], names=["doc_id", "piece", "start", "length", "ids"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def checksums(packed: DataFrame, keep_ids: bool = True) -> DataFrame:
-    """``packed`` with ``ids_crc32`` of the ids that stand in it."""
+def unpack_ids(packed: DataFrame, keep_ids: bool = True) -> DataFrame:
+    """``packed`` with ``ids_crc32`` of the ids that stand in it, and with these as numbers unless only the sum is asked."""
     names = [c for c in packed.columns if c != "ids_crc32"]
-    at, kept = names.index("ids"), [c for c in names if keep_ids or c != "ids"]
-    schema = T.StructType([*(packed.schema[c] for c in kept), T.StructField("ids_crc32", T.LongType())])
+    kept = [c for c in names if c != "ids"]
+    schema = T.StructType([*(packed.schema[c] for c in kept), T.StructField("ids_crc32", T.LongType()), *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(at)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sums, pa.int64())], names=[*kept, "ids_crc32"])
+        for batch in small_batches(batches):
+            ids = [from_planes(x) for x in batch.column("ids").to_pylist()]
+            sums = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sums, *[id_lists(ids)] * keep_ids], names=[*kept, "ids_crc32", *["ids"] * keep_ids])
 
     return packed.select(*names).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(packing.token_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return packing.checksums(packed, keep_ids=False)
+    return packing.unpack_ids(packed, keep_ids=False)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

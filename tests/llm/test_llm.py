@@ -301,7 +301,7 @@ def test_packing(docs, empty):
         for k, s in enumerate([0, *range(first, len(ids), 128)]):
             part = ids[s : first if k == 0 else s + 128]
             want[i, k] = (s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), part)
-    rows = packing.checksums(packing.pack(packing.token_pieces(docs, capacity=128), 128)).collect()
+    rows = packing.unpack_ids(packing.pack(packing.token_pieces(docs, capacity=128), 128)).collect()
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32, list(r.ids)) for r in rows} == want
     assert check_packed(rows, 128) <= first_fit([r.length for r in rows], 128)
     assert packing.pack(packing.token_pieces(empty)).count() == 0
