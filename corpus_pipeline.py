@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import stage
 from sievelake.llm.line_dedup import dedup_lines
 from sievelake.llm.near_dedup import near_duplicates
-from sievelake.llm.packing import checksums, pack, token_pieces
+from sievelake.llm.packing import pack, token_pieces, unpack_ids
 from sievelake.llm.quality import quality
 from sievelake.llm.substring_dedup import dedup_substrings
 
@@ -50,8 +50,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces (doc_id, piece, start, length, ids) with sequence_id, offset and ids_crc32."""
-    return checksums(pack(token_pieces(docs.select("doc_id", "text"))))
+    """Token pieces (doc_id, piece, start, length, sequence_id, offset, ids_crc32, ids)."""
+    return unpack_ids(pack(token_pieces(docs.select("doc_id", "text"))))
 
 
 STAGES = [
