@@ -145,6 +145,23 @@ def relative_path(abs_path: Column, root: Column) -> Column:
     return F.when(F.startswith(abs_path, F.concat(root, F.lit("/"))), F.substring(abs_path, F.length(root) + 2, F.length(abs_path))).otherwise(basename(abs_path))
 
 
+def below(path: Column, root: str | None = None) -> Column:
+    """A path as it stands below the root, ``.`` and ``..`` resolved; null if it leads out.  Without a root an absolute path
+    stays absolute."""
+    full = path if root is None else F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+    def step(done: Column, part: Column) -> Column:
+        back = F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))  # null: out of everything
+        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step)
+    out = F.array_join(parts, "/")
+    if root is None:
+        return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("/"), out)).otherwise(out)
+    top = "/".join(x for x in root.split("/") if x)
+    return F.when(out == top, "").when(F.startswith(out, F.lit(top + "/" if top else "")), F.substring(out, len(top) + 2 if top else 1, 1 << 20))
+
+
 def unit_span(start: Column, end: Column, n_lines: Column, low: int = 20, high: int = 100) -> Column:
     """Function span padded to ``low`` lines within the file and cut ``high`` lines behind its start."""
     pad = F.floor((F.lit(low) - (end - start)) / 2)

@@ -7,8 +7,12 @@ twice does not ask again.
 
 from __future__ import annotations
 
+import atexit
+import functools
 import json
 import os
+import shutil
+import tempfile
 import urllib.request
 import uuid
 from abc import ABC, abstractmethod
@@ -103,16 +107,26 @@ def provider_named(name: str) -> Provider:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, or checkpointed lazily where there is none."""
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, so that nothing computes it again; a
+    temporary folder serves where there is none and Spark is local."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return df.persist()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + _local_folder()
     path = f"{root.rstrip('/')}/sievelake-replies/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.lru_cache(maxsize=1)
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="sievelake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ask(prompts: DataFrame, provider: Provider, system: str, schema: str | None = None) -> DataFrame:
     """(prompt, reply, failed) for the distinct prompts of ``prompts``; ``reply`` is JSON, null if empty."""
 
@@ -155,12 +169,12 @@ def verify(findings: DataFrame, provider: Provider, low: float = 0.4, high: floa
     ).drop("prompt", "v")
 
 
-def ground(candidates: DataFrame, files: DataFrame) -> DataFrame:
-    """``candidates`` (file, line_start, line_end, ...) with ``grounded`` and the real lines as ``evidence``: the file
-    is one of ``files`` (path, lines) and 1 <= start <= end <= its lines."""
+def ground(candidates: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
+    """``candidates`` (file, line_start, line_end, ...) with ``grounded`` and the real lines as ``evidence``: the file, in
+    whatever spelling that leads below ``root``, is one of ``files`` (path, lines) and 1 <= start <= end <= its lines."""
     known = files.select(F.col("path").alias("_path"), F.col("lines").alias("_lines"))
     start, end = F.coalesce("line_start", F.lit(1)), F.coalesce("line_end", F.lit(1))
-    joined = candidates.join(known, F.regexp_replace(candidates.file, r"^(\./)+", "") == known._path, "left")
+    joined = candidates.join(known, S.below(candidates.file, root) == known._path, "left")
     ok = F.col("_path").isNotNull() & (start >= 1) & (start <= end) & (end <= F.size("_lines"))
     joined = joined.withColumn("grounded", F.coalesce(ok, F.lit(False)))
     return joined.withColumn("evidence", F.when(F.col("grounded"), F.array_join(F.slice("_lines", F.when(F.col("grounded"), start).otherwise(1), F.when(F.col("grounded"), end - start + 1).otherwise(0)), "\n"))).drop("_path", "_lines")
@@ -174,14 +188,14 @@ class Discovery:
     provider_errors: int
 
 
-def discover(units: DataFrame, files: DataFrame, provider: Provider) -> Discovery:
+def discover(units: DataFrame, files: DataFrame, provider: Provider, root: str | None = None) -> Discovery:
     """Ask about every unit, ground what is said, and make findings of it.  In a unit whose reply breaks (a confidence
     outside 0 to 1) what came before the break is kept."""
     named = units.withColumn("prompt", discovery_prompt(units))
     replies = ask(named, provider, DISCOVER_SYSTEM, DISCOVERY)
     said = named.select("path", "risk", "unit_ord", "prompt").join(replies, "prompt").select("path", "risk", "unit_ord", "failed", F.from_json("reply", DISCOVERY).alias("r"))
     each = said.where("r is not null").select("path", "risk", "unit_ord", F.posexplode("r.vulnerabilities").alias("k", "v")).select("path", "risk", "unit_ord", "k", "v.*")
-    each = ground(each, files)
+    each = ground(each, files, root)
     unit = Window.partitionBy("path", "unit_ord")
     broken = F.col("grounded") & ~F.coalesce(F.coalesce("confidence", F.lit(0.5)).between(0.0, 1.0), F.lit(False))
     each = written(each.withColumn("_broken", F.min(F.when(broken, F.col("k"))).over(unit)))

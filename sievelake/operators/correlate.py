@@ -9,7 +9,9 @@ only groups that hold discovered findings are shuffled.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,34 +25,83 @@ def family(df: DataFrame) -> Column:
 
 
 def normal_path(path: Column, root: str | None) -> Column:
-    """The path below the project, so that absolute and relative spellings meet."""
-    path = F.regexp_replace(path, r"^(\./)+", "")
-    return path if root is None else F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(path)
-
-
-def absorb(places: pd.DataFrame, reach: int) -> pd.DataFrame:
-    """(id, keep, marked) for the findings of one group, given as (id, line, found, ord)."""
-    static = places[places.found == 0].sort_values(["ord", "id"])
-    found = places[places.found == 1].sort_values(["ord", "id"])
-    stand, lines, marked = list(static.id), list(static.line), set()
-    for row in found.itertuples():
-        hit = next((i for i, line in enumerate(lines) if abs(line - row.line) <= reach), None)
+    """The path below the project, so that all spellings meet; one that leads out stays as it is."""
+    return F.coalesce(S.below(path, root), path)
+
+
+class Standing:
+    """Findings of one group that stand, by line, in list order."""
+
+    def __init__(self, reach: int) -> None:
+        self.reach, self.first, self.n = reach, {}, 0
+
+    def add(self, line: int | None) -> int:
+        place, self.n = self.n, self.n + 1
+        if line is not None:
+            self.first.setdefault(line, place)
+        return place
+
+    def hit(self, line: int | None) -> int | None:
+        """The first that stands at most ``reach`` lines away."""
+        if line is None:
+            return None
+        return min((p for x in range(line - self.reach, line + self.reach + 1) if (p := self.first.get(x)) is not None), default=None)
+
+
+def absorb(rows: list[tuple], reach: int) -> list[tuple]:
+    """(id, keep, marked) for the findings (id, line, found) of one group, which come static ones first, in list order."""
+    standing, fate, owner = Standing(reach), [], []
+    for name, line, found in rows:
+        hit = standing.hit(line) if found else None
         if hit is None:
-            stand.append(row.id)
-            lines.append(row.line)
+            standing.add(line)
+            owner.append(len(fate))
         else:
-            marked.add(stand[hit])
-    ids = list(places.id)
-    alive = set(stand)
-    return pd.DataFrame({"id": ids, "keep": [i in alive for i in ids], "marked": [i in marked for i in ids]})
+            fate[owner[hit]][2] = True
+        fate.append([name, hit is None, False])
+    return [tuple(x) for x in fate]
+
+
+def _absorb_runs(n_keys: int, reach: int):
+    """Fates of rows (keys, found, ord, id, line) that come sorted by all but the line."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        ids, keep, marked = zip(*absorb(rows, reach), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keep), pa.array(marked)], names=["id", "keep", "marked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, found, name, line in zip(zip(*columns[:n_keys], strict=True), columns[n_keys], columns[-2], columns[-1], strict=True):
+                if key != last and rows:
+                    yield batch_of(rows)
+                    rows = []
+                last = key
+                rows.append((name, line, found))
+        if rows:
+            yield batch_of(rows)
+
+    return run
 
 
 def greedy(places: DataFrame, keys: list[str], reach: int = 5) -> DataFrame:
     """(id, keep, marked) of ``places`` (keys, id, line, found, ord), each group of keys by itself.  Groups without
     discovered rows are left out: nothing changes in them."""
     groups = places.where("found = 1").select(*keys).distinct()
-    ours = places.join(groups, keys, "left_semi")
-    return ours.groupBy(*keys).applyInPandas(lambda pdf: absorb(pdf, reach), "id string, keep boolean, marked boolean")
+    ours = places.join(groups, keys, "left_semi").select(*keys, "found", "ord", "id", "line")
+    order = [*keys, "found", "ord", "id"]
+    return ours.repartition(*keys).sortWithinPartitions(*order).mapInArrow(_absorb_runs(len(keys), reach), "id string, keep boolean, marked boolean")
+
+
+def nearest(static: DataFrame, found: DataFrame, keys: list[str], reach: int = 5) -> DataFrame:
+    """``found`` (keys, id, line) with ``static_id``, the least id of ``static`` under the same keys at most ``reach`` lines
+    away: a band join over buckets of lines."""
+    width = reach + 1
+    at = static.select(*keys, F.col("id").alias("static_id"), F.col("line").alias("_at"), F.floor(F.col("line") / width).alias("_bucket"))
+    near = found.select(*keys, "id", "line", F.explode(F.sequence(F.floor((F.col("line") - reach) / width), F.floor((F.col("line") + reach) / width))).alias("_bucket"))
+    hits = near.join(at, [*keys, "_bucket"]).where(F.abs(F.col("line") - F.col("_at")) <= reach).groupBy(*keys, "id").agg(F.min("static_id").alias("static_id"))
+    return found.join(hits, [*keys, "id"], "left")
 
 
 def fingerprinted(df: DataFrame) -> DataFrame:

@@ -67,10 +67,10 @@ def scan_files(spark: SparkSession, tree: DataFrame, path: str = "", ai: bool =
     if mode in ("discover", "hybrid"):
         readable = tree.where("content is not null")
         lines = readable.select("path", S.split_lines(F.col("content")).alias("lines"))
-        got = assess.discover(review.review_units(review.reviewable(readable)), lines, model)
+        got = assess.discover(review.review_units(review.reviewable(readable)), lines, model, path or None)
         found = assess.written(got.findings)
         session.counters |= {"ai_candidate_findings": got.candidates, "ai_rejected_findings": got.rejected, "invalid_ai_locations": got.rejected, "provider_errors": got.provider_errors}
-        session.findings = found if mode == "discover" else correlate.correlate(static, found)
+        session.findings = found if mode == "discover" else correlate.correlate(static, found, root=path or None)
     if mode in ("verify", "hybrid"):
         session.findings = assess.verify(session.findings, model)
     session.findings = assess.written(session.findings)
@@ -92,6 +92,8 @@ def scan_repository(spark: SparkSession, url: str, ref: str | None = None, folde
     if named.error:
         raise acquire.AcquisitionError("invalid_url", named.error)
     more = {"opener": opener} if opener else {}
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that the driver and all executors share")
     with tempfile.TemporaryDirectory(dir=folder) as work:
         archive, tree = os.path.join(work, "archive.zip"), os.path.join(work, "tree")
         os.makedirs(tree)

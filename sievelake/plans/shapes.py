@@ -189,13 +189,10 @@ WITH p AS (SELECT user_id AS file, event_id, event_id % 1000 AS line, event_id %
 m AS (SELECT a.event_id AS ai_id, min(s.event_id) AS static_id FROM p a JOIN p s ON a.file = s.file AND a.found = 1 AND s.found = 0 AND abs(a.line - s.line) <= 5 GROUP BY 1)
 SELECT p.event_id AS ai_id, coalesce(static_id, -1) AS static_id FROM p LEFT JOIN m ON p.event_id = m.ai_id WHERE found = 1""")
 def correlate_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each discovered row with the first static row of its file within five lines, as a band join over line buckets."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), "event_id", (F.col("event_id") % 1000).alias("line"))
-    static = events.where("event_id % 2 = 0").select("file", F.col("event_id").alias("static_id"), F.col("line").alias("at"), F.floor(F.col("line") / 6).alias("bucket"))
-    found = events.where("event_id % 2 = 1").withColumnRenamed("event_id", "ai_id")
-    near = found.select("file", "ai_id", "line", F.explode(F.sequence(F.floor((F.col("line") - 5) / 6), F.floor((F.col("line") + 5) / 6))).alias("bucket"))
-    hits = near.join(static, ["file", "bucket"]).where(F.abs(F.col("line") - F.col("at")) <= 5).groupBy("ai_id").agg(F.min("static_id").alias("static_id"))
-    return found.select("ai_id").join(hits, "ai_id", "left").select("ai_id", F.coalesce("static_id", F.lit(-1)).alias("static_id"))
+    """Each discovered row with the first static row of its file within five lines."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("id"), (F.col("event_id") % 1000).alias("line"), (F.col("event_id") % 2).alias("found"))
+    near = correlate.nearest(rows.where("found = 0"), rows.where("found = 1"), ["file"])
+    return near.select(F.col("id").alias("ai_id"), F.coalesce("static_id", F.lit(-1)).alias("static_id"))
 
 
 @query(None)
@@ -225,29 +222,6 @@ def rule_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", family.alias("family"), S.fingerprint(F.col("p_type"), file, k, family).alias("fingerprint"))
 
 
-@query("""
-SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prior FROM events""")
-def asof_last_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each event the user's last click before it: the latest assignment before a use."""
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(before), F.lit(-1)).alias("prior"))
-
-
-_CLOSURE = """
-WITH RECURSIVE a AS (SELECT event_id - event_id % 50 AS scope, event_id AS ord, event_id % 11 AS target, (event_id * 7) % 11 AS name FROM events),
-e AS (SELECT x.scope, x.ord, x.name, max(y.ord) AS prev FROM a x LEFT JOIN a y ON x.scope = y.scope AND y.target = x.name AND y.ord < x.ord GROUP BY x.scope, x.ord, x.name),
-c AS (SELECT scope, ord, name, prev FROM e UNION ALL SELECT c.scope, c.ord, e.name, e.prev FROM c JOIN e ON c.scope = e.scope AND c.prev = e.ord)
-SELECT ord, {collect} AS deps FROM c GROUP BY ord"""
-
-
-@query(_CLOSURE.format(collect="array_to_string(list_sort(list(DISTINCT name)), ',')"))
-def taint_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a value depends on, through the latest assignments before it; fifty events stand for a
-    file's assignments."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(_CLOSURE.format(collect="concat_ws(',', transform(array_sort(collect_set(name)), x -> cast(x as string)))"))
-
-
 @query("""
 WITH m AS (SELECT o_custkey AS archive, o_orderkey AS ord, CASE WHEN o_orderkey % 997 = 0 THEN '/etc/x' WHEN o_orderkey % 991 = 0 THEN 'a/../b' ELSE 'src/f' || o_orderkey END AS filename,
                   (o_totalprice * 10)::BIGINT AS size, CASE WHEN o_orderkey % 499 = 0 THEN 2717843456 ELSE 0 END AS attr FROM orders),
@@ -272,17 +246,17 @@ g AS (SELECT event_id, ls, s, t, coalesce(s >= 1 AND s <= t AND t <= len(ls), fa
 SELECT event_id, grounded, CASE WHEN grounded THEN sha256(array_to_string(ls[s:t], chr(10))) END AS evidence_sha256 FROM g"""
 )
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate spans against the real lines of documents; half of the candidates name none."""
+    """Candidate spans against the real lines of documents, spelled in a roundabout way; half of the candidates name none."""
     from sievelake.operators.assess import ground
 
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
     k = F.col("event_id")
     candidates = table(spark, sf_dir, "events").select(
-        "event_id", (k % (2 * n)).cast("string").alias("file"), (k % 9 - 1).cast("int").alias("line_start"), (k % 9 - 1 + k % 5 - 1).cast("int").alias("line_end")
+        "event_id", F.concat(F.lit("/srv/app/./x/../"), (k % (2 * n)).cast("string")).alias("file"), (k % 9 - 1).cast("int").alias("line_start"), (k % 9 - 1 + k % 5 - 1).cast("int").alias("line_end")
     )
     files = docs.select(F.col("doc_id").cast("string").alias("path"), S.split_lines(F.col("text")).alias("lines"))
-    return ground(candidates, files).select("event_id", "grounded", F.sha2("evidence", 256).alias("evidence_sha256"))
+    return ground(candidates, files, "/srv/app").select("event_id", "grounded", F.sha2("evidence", 256).alias("evidence_sha256"))
 
 
 _FLAG = "(length(text) - length(replace(replace(text, '*', ''), '#', ''))) * 100 > length(text)"
@@ -303,16 +277,6 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("lang", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query(f"""
-WITH s AS (SELECT event_id, {_SEVERITY_SQL} AS severity, event_id % 2 AS found FROM events)
-SELECT mode, severity, count(*) AS n FROM (SELECT 'discover' AS mode, * FROM s WHERE found = 1 UNION ALL SELECT 'hybrid', * FROM s UNION ALL SELECT 'static', * FROM s WHERE found = 0) GROUP BY ALL""")
-def mode_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each mode reports: one pass, a row goes to the modes that hold it."""
-    found = F.col("event_id") % 2 == 1
-    modes = F.when(found, F.array(F.lit("discover"), F.lit("hybrid"))).otherwise(F.array(F.lit("static"), F.lit("hybrid")))
-    return _event_severity(spark, sf_dir).select("severity", F.explode(modes).alias("mode")).groupBy("mode", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""
 WITH f AS (SELECT event_id, event_type || ' ' || user_id AS title, {_SEVERITY_SQL} AS severity, least(value / 500, 1) AS c FROM events WHERE event_id % 3 > 0)
 SELECT event_id, round(c, 9) AS confidence FROM f WHERE severity = 'MEDIUM' AND contains(lower(title), 'click 1')""")

@@ -4,7 +4,6 @@ import io
 import json
 import zipfile
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,8 +118,17 @@ def test_greedy_correlation(spark):
         mine = [r[1:] for r in rows if r[0] == file]
         stand, marked = greedy_by_hand(mine)
         assert {r[0] for r in mine if got[r[0]][0]} == stand and {r[0] for r in mine if got[r[0]][1]} == marked
-    edge = correlate.absorb(pd.DataFrame({"id": ["s", "a", "b", "c"], "line": [10, 15, 16, 20], "found": [0, 1, 1, 1], "ord": [0, 1, 2, 3]}), 5)
-    assert list(edge.keep) == [True, False, True, False] and list(edge.marked) == [True, False, True, False]
+    edge = correlate.absorb([("s", 10, 0), ("a", 15, 1), ("b", 16, 1), ("c", 20, 1), ("d", None, 1)], 5)
+    assert edge == [("s", True, True), ("a", False, False), ("b", True, True), ("c", False, False), ("d", True, False)]
+
+
+def test_paths_below_the_root(spark):
+    from sievelake.functions import scalars as S
+
+    cases = [("a/b.py", "a/b.py"), ("./a//b.py", "a/b.py"), ("a/../b.py", "b.py"), ("/srv/app/a.py", "a.py"), ("/srv/x/../app/a.py", "a.py"), ("../app/a.py", "a.py"), ("../a.py", None), ("/srv/apple/a.py", None), ("/a.py", None), ("../../../a.py", None), ("/srv/app", ""), (None, None)]
+    df = spark.createDataFrame(cases, "path string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", S.below(F.col("path"), "/srv/app")).collect())
+    assert [r[0] for r in df.select(S.below(F.col("path"))).collect()][:4] == ["a/b.py", "a/b.py", "b.py", "/srv/app/a.py"]
 
 
 def test_hybrid_merges(spark):
