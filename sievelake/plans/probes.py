@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.operators import findings
+from sievelake.operators.assess import written
 from sievelake.operators.rules import fire
 from sievelake.plans import scan
 from sievelake.plans.shapes import query, table
@@ -148,14 +149,14 @@ WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id)
 s AS (SELECT CASE event_type WHEN 'purchase' THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM e WHERE event_type IN ('error', 'purchase', 'click')),
 d AS (SELECT DISTINCT user_id, part, 'HIGH' AS severity FROM e WHERE user_id % 3 = 0)
 SELECT mode, severity, count(*) AS n FROM (
-  SELECT 'static' AS mode, severity FROM s UNION ALL SELECT 'discover', severity FROM d UNION ALL SELECT 'hybrid', severity FROM s UNION ALL SELECT 'hybrid', severity FROM d) GROUP BY ALL""")
+  SELECT 'static' AS mode, severity FROM s UNION ALL SELECT 'hybrid', severity FROM s UNION ALL SELECT 'hybrid', severity FROM d) GROUP BY ALL""")
 def mode_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a scan of the same files reports in each mode, with the model that has fixed answers."""
+    """What a scan of the same files reports without a model and, in hybrid mode, with the one that has fixed answers."""
     said = F.when(F.col("event_type") == "error", "os.system(x)").when(F.col("event_type") == "purchase", "pickle.loads(x)").when(F.col("event_type") == "click", "requests.get(x)").otherwise("pass")
     folder = F.when(F.col("user_id") % 3 == 0, "vulnerable/").otherwise("other/")
-    tree = _event_files(spark, sf_dir, folder, 50, said)
+    tree = written(_event_files(spark, sf_dir, folder, 50, said))
     out = None
-    for mode in ("static", "discover", "hybrid"):
+    for mode in ("static", "hybrid"):
         session = scan.scan_files(spark, tree, "/project", ai=mode != "static", mode=mode)
         each = session.findings.select(F.lit(mode).alias("mode"), F.col("classification.severity").alias("severity"))
         out = each if out is None else out.unionByName(each)
