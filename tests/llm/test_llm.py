@@ -733,6 +733,32 @@ def test_registered(spark, name):
     assert name in __spark_entry__.queries() and QUERIES[name](spark, DATA).count() > 0
 
 
+def test_shards_repeated_rows(spark, tmp_path):
+    """Repeated rows and ids all stay, as neighbours; starts go on behind them."""
+    rows = [(5, "a b c"), (5, "a b c"), (5, "other"), (None, "x"), (None, None), (-3, "neg")]
+    manifest = sstable.write_shards(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)), folder=f"file://{tmp_path}/r", n_shards=2)
+    got = sstable.read_shards(spark, manifest, f"file://{tmp_path}").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -3, 5, 5, 5]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(6)]
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls, repeated rows, clashing columns; and no rows at all."""
+    import corpus_pipeline as p
+
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    rows = [(1, text), (1, text), (2, text + " x"), (3, None), (None, text), (4, ""), (5, " ".join(f"v{i}" for i in range(70)))]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], SCHEMA)
+    for df, want in ((docs, [None, 1, 1, 5]), (docs.limit(0), [])):
+        df = df.withColumns({c: F.lit("mine") for c in ("kept", "n_words", "ids", "_rest", "h", "component_id")})
+        for _, step in p.STAGES[:-1]:
+            df = step(spark, df, DATA).withColumns({c: F.lit("mine") for c in ("kept", "ids", "_rest")})
+        assert sorted((r.doc_id for r in df.collect()), key=lambda i: (i is not None, i)) == want
+        packed = p.STAGES[-1][1](spark, df, DATA).collect()
+        assert len(packed) == len(want) and {r.sequence_id for r in packed} == ({0} if want else set())
+
+
 def test_pipeline(spark):
     """run() against brute force stage by stage, and the packed ids against its own texts."""
     import corpus_pipeline as p
