@@ -181,8 +181,11 @@ def origins(text: Column) -> Column:
 
 
 def url_quote(text: Column) -> Column:
-    """Per-cent encoding that leaves ``/`` alone."""
-    return F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """Per-cent encoding that leaves letters, digits, ``_.-~`` and ``/`` alone."""
+    out = F.url_encode(text)
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(plain))
+    return out
 
 
 def error_status(kind: Column, remote: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelake.plans import probes, shapes  # noqa: F401  (probes adds to the queries of shapes)
+from sievelake.plans import marks, probes, shapes  # noqa: F401  (marks and probes add to the queries of shapes)
 
 QUERIES: dict = dict(shapes.QUERIES)
 ORACLE_SQL: dict = dict(shapes.ORACLE_SQL)
