@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +37,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sievelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def held(spark: SparkSession, key: str, value) -> Iterator[None]:
+    """A setting of the session for what runs meanwhile."""
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, str(value))
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut there, so a lost executor
     costs no earlier step, and the files give joins their true size.  The shuffle files that
-    led to it are removed with the write, which is over."""
+    led to it are removed with the write, which is over.  ``options`` are the writer's."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    with held(spark, _CLEANUP, "true"):
+        df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     return out

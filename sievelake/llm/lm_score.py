@@ -33,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, words_of
+from .common import held, stage, words_of
 from .shingles import ngrams, word_hashes
 
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: An Arrow batch, which stands in the JVM and in the worker beside it, ends with the row that takes it beyond so many bytes
+#: (Spark's own limit is 64 MB); a row group of blocks, which is read as a whole, holds so many.
+BATCH_BYTES, GROUP_BLOCKS = 4 << 20, 4
 _U = np.uint64
 
 
@@ -194,11 +197,9 @@ def _score(order: int, alpha: float, n_all: int):
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_backoff, log_score, mean_log_score): natural logarithms; ``n_backoff``
-    counts the words whose full context was not enough."""
+def _scored(docs: DataFrame, order: int, alpha: float, block_bytes: int, bucket_bytes: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    blocks = stage(docs.mapInArrow(_block(block_bytes), "block long, n_bytes long, doc_ids array<long>, texts array<string>"), "text-blocks")
+    blocks = stage(docs.mapInArrow(_block(block_bytes), "block long, n_bytes long, doc_ids array<long>, texts array<string>"), "text-blocks", **{"parquet.block.row.count.limit": GROUP_BLOCKS})
     size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = max(0, (-(-size // bucket_bytes) - 1).bit_length())
     answers = []
@@ -212,7 +213,15 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes:
     for k, df in enumerate(answers, 1):
         both = both.unionByName(df.select("block", F.lit(1).alias("side"), F.lit(k).alias("gram_order"), "bucket", "totals", null("array<long>").alias("doc_ids"), null("array<string>").alias("texts")))
     both = both.repartition("block").sortWithinPartitions("block", "side", "gram_order", "bucket")
-    scored = both.mapInArrow(_score(order, alpha, max(1, n_all)), "doc_id long, n_words long, n_backoff long, log_score double")
+    # Written here, as the limit of a batch holds for what runs meanwhile.
+    return stage(both.mapInArrow(_score(order, alpha, max(1, n_all)), "doc_id long, n_words long, n_backoff long, log_score double"), "scores")
+
+
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_backoff, log_score, mean_log_score): natural logarithms; ``n_backoff``
+    counts the words whose full context was not enough."""
+    with held(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        scored = _scored(docs, order, alpha, block_bytes, bucket_bytes)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 

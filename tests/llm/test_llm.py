@@ -608,6 +608,34 @@ def test_escape(text):
 # 9 -----------------------------------------------------------------------------------------------
 
 
+def test_lm_scores_batches_are_small(spark, tmp_path, monkeypatch):
+    """A batch holds a few MB, however much a task reads; it stands in the JVM and in the worker."""
+    log = str(tmp_path / "sizes")
+
+    def watched(make):
+        def made(*how):
+            run = make(*how)
+
+            def seen(batches):
+                for batch in batches:
+                    with open(log, "a") as out:
+                        out.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return lambda batches: run(seen(batches))
+
+        return made
+
+    for name in ("_block", "_ask", "_score"):
+        monkeypatch.setattr(lm_score, name, watched(getattr(lm_score, name)))
+    df = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.lit(200_000)).alias("text"))
+    got = lm_score.lm_scores(df, block_bytes=1 << 20).collect()
+    assert len(got) == 24 and all(r.n_words == 200_000 and r.n_backoff == 0 for r in got)
+    with open(log) as lines:
+        assert max(map(int, lines)) < 8 << 20
+
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores(docs, empty, order):
     words = {i: WORD.findall(lower(t or "")) for i, t, *_ in ROWS}
